@@ -6,13 +6,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paravane.llm import bpe_tree, token_count
-from paravane.llm.common import table
+from paravane.llm import bpe_tree, langid, quality, token_count, toxicity
+from paravane.llm.common import fold, table
 
 #: Where the public vocabularies are; they are never copied into the repository.
 RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 #: Documents with more tokens than this are over the limit.
 TOKEN_LIMIT = 512
+#: Labelled documents that a classifier is fitted on at most: those whose hashed id is smallest.
+LABEL_ROWS = 6_000
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, docs.filter(fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def labelled(spark: SparkSession, sf_dir: str, column: str, name: str) -> DataFrame:
+    """Texts with a label, of the rows that may be learned from; documents are read from the table."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = labels.filter((fold("doc_id", 4) != 2) & F.col(column).isNotNull()).select("doc_id", F.col(column).alias(name))
+    few = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id", name).limit(LABEL_ROWS))
+    return few.join(docs.select("doc_id", "text"), "doc_id")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability; learned from labels.quality outside the held-out fold."""
+    found = quality.grade(table(spark, sf_dir, "documents"), labelled(spark, sf_dir, "quality", "rating"))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "expected_grade", "tail_prob", "selected")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), labelled(spark, sf_dir, "toxic", "toxic"))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_bpe_roundtrip, op8_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op7_bpe_roundtrip, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
