@@ -72,7 +72,7 @@ class CumulativeLink:
             g_theta = np.array([(np.where(level == k, -up, 0) + np.where(level == k + 1, down, 0)).sum() / len(y) for k in range(top)])
             tail = np.cumsum(g_theta[::-1])[::-1]  # a threshold moves all that are above it
             g_free = np.concatenate([tail[:1], tail[1:] * np.exp(free[1:])])
-            for p, g, a, b in ((weights, x.T @ g_eta + RIDGE * weights, m[0], v[0]), (free, g_free, m[1], v[1])):
+            for p, g, a, b in ((weights, g_eta.astype(np.float32) @ x + np.float32(RIDGE) * weights, m[0], v[0]), (free, g_free, m[1], v[1])):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
