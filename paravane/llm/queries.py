@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paravane.llm import bpe_tree, html_extract, langid, quality, token_count, toxicity
+from paravane.llm import bpe_tree, html_extract, jaccard_join, langid, quality, token_count, toxicity
 from paravane.llm.common import fold, table
 
 #: Where the public vocabularies are; they are never copied into the repository.
@@ -49,6 +49,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id.page_id", "page_id.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_tree.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return coded.select("doc_id", F.expr("bigint(length(token_ids) div 4)").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -60,7 +64,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_html_text, op7_bpe_roundtrip, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_html_text, op6_jaccard_join, op7_bpe_roundtrip, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
