@@ -52,3 +52,13 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20, column:
                 start, held = i + 1, 0
         if start < n:
             yield batch.slice(start, n - start)
+
+
+#: Ids that are broadcast at most; a longer list is shuffled.
+BROADCAST_IDS = 500_000
+
+
+def fit_to_send(ids: DataFrame) -> DataFrame:
+    """A settled frame, marked for broadcast if it was counted to be short enough."""
+    ids = settle(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paravane.llm import bpe_tree, html_extract, jaccard_join, langid, quality, token_count, toxicity
+from paravane.llm import ann, bpe_tree, decontaminate, html_extract, jaccard_join, langid, quality, token_count, toxicity
 from paravane.llm.common import fold, table
 
 #: Where the public vocabularies are; they are never copied into the repository.
@@ -42,6 +42,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", top=20)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     # the url travels with the key, so the pages need no join afterwards
@@ -63,8 +67,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items leaked into documents, one row for each document and item."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_html_text, op6_jaccard_join, op7_bpe_roundtrip, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_nearest_neighbours, op4_html_text, op6_jaccard_join, op7_bpe_roundtrip, op8_token_counts, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
