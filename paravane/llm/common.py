@@ -20,16 +20,22 @@ def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, notebooks) a temporary one is made.
+    Only where that is unset (tests, notebooks) a temporary one is made.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -62,3 +68,14 @@ def fit_to_send(ids: DataFrame) -> DataFrame:
     """A settled frame, marked for broadcast if it was counted to be short enough."""
     ids = settle(ids)
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+#: Labelled documents that a classifier may be fitted on at most: those whose hashed id is smallest.
+LABEL_ROWS = 6_000
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    """(doc_id, text, label) of at most LABEL_ROWS rows outside the held-out fold (crc32 of the id, modulo 4, is 2)."""
+    rated = labels.filter((fold("doc_id", 4) != 2) & F.col(column).isNotNull()).select("doc_id", F.col(column).alias(name))
+    few = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id", name).limit(LABEL_ROWS))  # LABEL_ROWS rows at most
+    return few.join(docs.select("doc_id", "text"), "doc_id")

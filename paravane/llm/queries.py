@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paravane.llm import ann, bpe_tree, decontaminate, html_extract, jaccard_join, langid, quality, token_count, toxicity
-from paravane.llm.common import fold, table
+from paravane.llm import ann, bpe_tree, decontaminate, html_extract, jaccard_join, langid, passages, quality, token_count, toxicity
+from paravane.llm.common import fold, labelled, table
 
 #: Where the public vocabularies are; they are never copied into the repository.
 RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 #: Documents with more tokens than this are over the limit.
 TOKEN_LIMIT = 512
-#: Labelled documents that a classifier is fitted on at most: those whose hashed id is smallest.
-LABEL_ROWS = 6_000
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,22 +22,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def labelled(spark: SparkSession, sf_dir: str, column: str, name: str) -> DataFrame:
-    """Texts with a label, of the rows that may be learned from; documents are read from the table."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated = labels.filter((fold("doc_id", 4) != 2) & F.col(column).isNotNull()).select("doc_id", F.col(column).alias(name))
-    few = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id", name).limit(LABEL_ROWS))
-    return few.join(docs.select("doc_id", "text"), "doc_id")
-
-
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probability; learned from labels.quality outside the held-out fold."""
-    found = quality.grade(table(spark, sf_dir, "documents"), labelled(spark, sf_dir, "quality", "rating"))
+    found = quality.grade(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", "rating"))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "expected_grade", "tail_prob", "selected")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = toxicity.score(table(spark, sf_dir, "documents"), labelled(spark, sf_dir, "toxic", "toxic"))
+    found = toxicity.score(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", "toxic"))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -53,6 +44,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id.page_id", "page_id.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 words or more: a row for each later copy, with the document of the first."""
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -73,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_nearest_neighbours, op4_html_text, op6_jaccard_join, op7_bpe_roundtrip, op8_token_counts, op9_toxicity, op10_decontaminate)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_quality, op3_nearest_neighbours, op4_html_text, op5_passages, op6_jaccard_join, op7_bpe_roundtrip, op8_token_counts, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
