@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from paravane.plans import q_figures, q_rows
+
 
 def queries() -> dict:
-    return {}
+    return q_figures.QUERIES | q_rows.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return q_figures.SQL | q_rows.SQL
