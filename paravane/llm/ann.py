@@ -9,8 +9,10 @@ exact inner product of the original vectors in double precision.
 
 Centroids and code words are fitted on a bounded sample; every vector is
 indexed.  The number of cells to visit is chosen on the sample so that its own
-neighbours are found.  Cells are dealt out in blocks of vectors and blocks of
-queries, so no task holds more than a block of each, however large a cell is.
+neighbours are found.  Neighbouring cells are packed into shards of about
+BLOCK vectors, a larger cell is split into several blocks, and the queries of a
+shard are split into blocks as well; so no task holds more than a block of
+each, and a query returns ``top`` rows a shard, not a cell.
 Of equal vectors only the ``top + 1`` of smallest id can be among a query's
 results, since ties go to the smaller id; the others are left out of the index
 without changing any result.
@@ -29,13 +31,13 @@ from pyspark.sql import functions as F
 from paravane.llm.common import settle
 
 #: Vectors the index is fitted on at most; cells at most; vectors a cell should hold.
-SAMPLE_ROWS, MAX_CELLS, CELL_ROWS = 20_000, 2048, 300
+SAMPLE_ROWS, MAX_CELLS, CELL_ROWS = 20_000, 2048, 128
 #: Groups of dimensions at most, code words a group, sweeps of k-means.
 GROUPS, WORDS, SWEEPS = 16, 256, 8
-#: Codes of a block that are ranked again exactly, as a multiple of ``top``; vectors and queries of a block.
-RERANK, BLOCK = 6, 4096
+#: Standard deviations of the quantisation error within which a code is ranked again exactly; vectors and queries of a block.
+MARGIN, BLOCK = 3.0, 8192
 #: Share of the sample's own neighbours that the visited cells must hold.
-AIM = 0.985
+AIM = 0.95
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -70,6 +72,9 @@ class Index:
         parts = residual.reshape(len(sample), self.groups, -1)
         self.words = [kmeans(parts[:, g], WORDS, rng) for g in range(self.groups)]
         norms = np.sqrt((residual**2).sum(axis=1))
+        rest = parts - np.stack([w[nearest(parts[:, g], w)] for g, w in enumerate(self.words)], axis=1)
+        #: What quantisation may add to or take from the inner product with a unit query, but for rare cases.
+        self.error = float(MARGIN * np.sqrt((rest**2).sum(axis=(1, 2)).mean() / d))
         count = np.bincount(near, minlength=len(self.centres))
         self.spread = np.bincount(near, norms, len(self.centres)) / np.maximum(1, count)
         self.visit = self.probe_count(sample, near, top, rng)
@@ -102,24 +107,49 @@ class Index:
         need = np.maximum(self.visit, (held < least).sum(axis=1) + 1)
         return [o[: min(n, len(o))] for o, n in zip(order, need)]
 
-    def search(self, cell: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, own: np.ndarray, top: int):
-        """(query row, id, score) of the best of one block, for a block of queries."""
+    def shards(self) -> np.ndarray:
+        """Shard of each cell: cells in order along the main direction, packed up to BLOCK vectors."""
+        spread = self.centres - self.centres.mean(axis=0)
+        main = np.linalg.svd(spread, full_matrices=False)[2][0]
+        out, now, held = np.zeros(len(self.centres), np.int64), 0, 0
+        for cell in np.argsort(spread @ main, kind="stable"):
+            if held and held + self.sizes[cell] > BLOCK:
+                now, held = now + 1, 0
+            out[cell], held = now, held + self.sizes[cell]
+        return out
+
+    def search(self, q: np.ndarray, own: np.ndarray, visits: list[np.ndarray], ids: np.ndarray, x: np.ndarray, codes: np.ndarray, cell: np.ndarray, top: int):
+        """(query row, id, score) of the best of one shard, for a block of queries and the cells each visits."""
         parts = q.reshape(len(q), self.groups, -1)
-        near = np.repeat((q @ self.centres[cell])[:, None], len(ids), axis=1)
-        for g in range(self.groups):
-            near += (parts[:, g] @ self.words[g].T)[:, codes[:, g]]
+        tables = [parts[:, g] @ self.words[g].T for g in range(self.groups)]
+        near = np.full((len(q), len(ids)), -np.inf)
+        order = np.argsort(cell, kind="stable")
+        bounds = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        asks: dict[int, list[int]] = {}
+        for r, cells in enumerate(visits):
+            for c in cells:
+                asks.setdefault(int(c), []).append(r)
+        for members in np.split(order, bounds[1:]):
+            c = int(cell[members[0]])
+            rows = np.array(asks.get(c, []), np.int64)
+            if len(rows):
+                score = np.repeat((q[rows] @ self.centres[c])[:, None], len(members), axis=1)
+                for g in range(self.groups):
+                    score += tables[g][rows[:, None], codes[members, g][None, :]]
+                near[rows[:, None], members[None, :]] = score
         near[own[:, None] == ids[None, :]] = -np.inf
-        keep = min(len(ids), max(RERANK * top, top + 1))
-        best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-        score = np.zeros(best.shape)
+        # ranked again: the best codes, and all that quantisation may have put below them
+        near_top = -np.partition(-near, top - 1, axis=1)[:, top - 1] if top < len(ids) else np.full(len(q), -np.inf)
+        far = near_top - self.error * np.sqrt((q * q).sum(axis=1))
+        rows, columns = np.nonzero((near >= far[:, None]) & (near > -np.inf))
+        score = np.zeros(len(rows))
         for d in range(q.shape[1]):  # in the order of the components, so the sum is the same everywhere
-            score += q[:, d : d + 1] * x[best, d]
-        score[ids[best] == own[:, None]] = -np.inf
-        order = np.lexsort((ids[best], -score), axis=1)[:, :top]
-        rows = np.repeat(np.arange(len(q)), order.shape[1])
-        found, value = np.take_along_axis(ids[best], order, 1).reshape(-1), np.take_along_axis(score, order, 1).reshape(-1)
-        good = value > -np.inf
-        return rows[good], found[good], value[good]
+            score += q[rows, d] * x[columns, d]
+        order = np.lexsort((ids[columns], -score, rows))
+        rows, columns, score = rows[order], columns[order], score[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        best = place < top
+        return rows[best], ids[columns[best]], score[best]
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -176,27 +206,31 @@ def search(df: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([c.tolist() for c in cells], pa.list_(pa.int32()))], names=["query_id", "v", "cells"])
 
     asked = settle(rows.filter(is_query).mapInArrow(probe, "query_id long, v array<double>, cells array<int>"))
-    visits = asked.select("query_id", "v", F.explode("cells").alias("cell"))
-    loads = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    deal = spark.createDataFrame([(c, -(-n // BLOCK), -(-loads[c] // BLOCK)) for c, n in sizes.items() if c in loads] or [(-1, 1, 1)], "cell int, vb int, qb int")
+    shard = index.shards()
+    loads = np.bincount(shard, index.sizes).astype(int)
+    place = spark.createDataFrame([(c, int(s)) for c, s in enumerate(shard)], "cell int, shard int")  # MAX_CELLS rows at most
+    visits = asked.select("query_id", F.explode("cells").alias("cell")).join(F.broadcast(place.toDF("cell", "shard")), "cell").groupBy("query_id", "shard").agg(F.collect_list("cell").alias("cells"))
+    visits = settle(visits.join(asked.select("query_id", "v").dropDuplicates(["query_id"]), "query_id"))
+    asks = {r["shard"]: r["n"] for r in visits.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    deal = spark.createDataFrame([(s, -(-int(loads[s]) // BLOCK), -(-n // BLOCK)) for s, n in asks.items()] or [(-1, 1, 1)], "shard int, vb int, qb int")
     own = "int(pmod(xxhash64({0}), {1}))"
-    left = indexed.join(F.broadcast(deal), "cell").withColumn("i", F.expr(own.format("vec_id", "vb"))).withColumn("j", F.explode(F.expr("sequence(0, qb - 1)")))
-    right = visits.join(F.broadcast(deal), "cell").withColumn("j", F.expr(own.format("query_id", "qb"))).withColumn("i", F.explode(F.expr("sequence(0, vb - 1)")))
-    key = ["cell", "i", "j"]
+    left = indexed.join(F.broadcast(place), "cell").join(F.broadcast(deal), "shard").withColumn("i", F.expr(own.format("vec_id", "vb"))).withColumn("j", F.explode(F.expr("sequence(0, qb - 1)")))
+    right = visits.toDF(*visits.columns).join(F.broadcast(deal.toDF("shard", "vb", "qb")), "shard").withColumn("j", F.expr(own.format("query_id", "qb"))).withColumn("i", F.explode(F.expr("sequence(0, vb - 1)")))
+    key = ["shard", "i", "j"]
 
     def block(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(two):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        one = one[~pd.DataFrame({"i": one["vec_id"], "v": one["v"].map(lambda v: v.tobytes())}).duplicated().to_numpy()]
-        x, codes = np.stack(one["v"].to_numpy()), np.frombuffer(b"".join(one["code"]), np.uint8).reshape(len(one), -1)
-        ids, found = one["vec_id"].to_numpy(), []
-        for a in range(0, len(two), 256):
-            part = two.iloc[a : a + 256]
-            asked_ids = part["query_id"].to_numpy()
-            r, i, s = shared.value.search(int(part["cell"].iloc[0]), np.stack(part["v"].to_numpy()), ids, x, codes, asked_ids, top)
-            found.append(pd.DataFrame({"query_id": asked_ids[r], "vec_id": i, "score": s}))
-        return pd.concat(found)
-
-    parts = left.select(*key, "vec_id", "v", "code").groupBy(*key).cogroup(right.select(*key, "query_id", "v").groupBy(*key)).applyInPandas(block, "query_id long, vec_id long, score double")
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
+        if len(one) and len(two):
+            one = one[~pd.DataFrame({"i": one["vec_id"], "v": one["v"].map(lambda v: v.tobytes())}).duplicated().to_numpy()]
+            x, codes = np.stack(one["v"].to_numpy()), np.frombuffer(b"".join(one["code"]), np.uint8).reshape(len(one), -1)
+            ids, cell = one["vec_id"].to_numpy(), one["cell"].to_numpy()
+            for a in range(0, len(two), 256):
+                part = two.iloc[a : a + 256]
+                asked_ids = part["query_id"].to_numpy()
+                r, i, s = shared.value.search(np.stack(part["v"].to_numpy()), asked_ids, part["cells"].tolist(), ids, x, codes, cell, top)
+                found.append(pd.DataFrame({"query_id": asked_ids[r], "vec_id": i, "score": s}))
+        return pd.concat(found[1:] or found)
+
+    parts = left.select(*key, "vec_id", "v", "code", "cell").groupBy(*key).cogroup(right.select(*key, "query_id", "v", "cells").groupBy(*key)).applyInPandas(block, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
