@@ -3,7 +3,9 @@
 Rows of the incidence matrix are documents, columns are hashed word n-grams.
 Two rows whose Jaccard similarity reaches num/den share a column among the
 first n - ceil(n * num / den) + 1 of each, in one fixed order of columns, so
-the product only has to visit those columns (the prefix).  Each column with
+the product only has to visit those columns (the prefix).  Any order is
+correct; columns of long n-grams come first, because they are rare, and few
+documents share one by chance.  Each column with
 two documents or more is a block of the product; a column with very many is
 cut into tiles of BLOCK by BLOCK documents.
 
@@ -15,11 +17,11 @@ between two sketches are a lower bound of that difference.  What passes is
 counted exactly from the full rows.
 
 Groups of copies do not expand into all pairs.  Equal sets are one class from
-the start; a block of more than SMALL rows passes on a spanning forest of the
-pairs that the bounds leave; after these are counted exactly and contracted
-into components, a second round passes on, from the same blocks, every pair
-left that would join two components.  So no link between components is lost,
-and pairs inside one are never needed.
+the start.  A block passes on no more than a spanning forest of the pairs that
+the bounds leave, so the forests' components (clusters) hold every true
+component whole.  The full rows are then dealt out by cluster, a large one in
+tiles again, and there the overlaps of pairs that are not yet connected are
+counted exactly; a tile returns a spanning forest of the true links.
 """
 
 from __future__ import annotations
@@ -31,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import keyed_text, settle, text_slices
+from paravane.llm.common import fit_to_send, keyed_text, settle, text_slices
 from paravane.llm.components import connected
 from paravane.llm.words import mix, shingle_sets
 
-#: Documents of a tile's side; the largest block whose pairs are all passed on at once.
-BLOCK, SMALL = 1024, 8
-#: A set of candidate ids is broadcast up to this many, and shuffled beyond.
-BROADCAST_IDS = 500_000
+#: Documents of a tile's side, bytes of its rows, and bits of a sketch at most.
+BLOCK, BLOCK_BYTES, MOST_BITS = 4096, 32 << 20, 4096
+#: Bits of a sketch made from a full row, for each gram of the difference that still links.
+EXACT_BITS = 32
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -50,9 +52,20 @@ def most_apart(a, b, num: int, den: int):
     return a + b - 2 * -(-(a + b) * num // (num + den))
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Parities of the grams by their low mixed bits; the length in bits is a power of two of at least n."""
-    bits = max(256, 1 << (len(grams) - 1).bit_length())
+def prefix(grams: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first columns of a row in the order of columns: by falling length, then by hash."""
+    order = ((np.uint64(255) - np.minimum(sizes, 255).astype(np.uint64)) << np.uint64(56)) | (grams >> np.uint64(8))
+    return grams[np.argsort(order, kind="stable")[: prefix_length(len(grams), num, den)]]
+
+
+def sketch(grams: np.ndarray, num: int, den: int, wide: int = 4) -> bytes:
+    """Parities of the grams by their low mixed bits.
+
+    The length is a power of two, about ``wide`` times the difference that still links, so that few
+    bits coincide; beyond MOST_BITS the bound is weaker, and more pairs are left to the exact count.
+    """
+    allowed = most_apart(len(grams), len(grams), num, den)
+    bits = min(MOST_BITS, max(128, 1 << (wide * allowed).bit_length()))
     return np.packbits(np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -69,117 +82,129 @@ def profile(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            n, f1, f2, prefix, bits = [], [], [], [], []
-            for grams in shingle_sets([t or "" for t in part.column("text").to_pylist()], k):
+            n, f1, f2, head, bits = [], [], [], [], []
+            for grams, sizes in shingle_sets([t or "" for t in part.column("text").to_pylist()], k):
                 n.append(len(grams))
                 f1.append(int(mix(grams).sum().view(np.int64)) if len(grams) else 0)
                 f2.append(int(mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)) if len(grams) else 0)
-                prefix.append(grams[: prefix_length(len(grams), num, den)].view(np.int64) if len(grams) else [])
-                bits.append(sketch(grams) if len(grams) else b"")
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "f1", "f2", "grams", "sketch"])
+                head.append(prefix(grams, sizes, num, den).view(np.int64) if len(grams) else [])
+                bits.append(sketch(grams, num, den) if len(grams) else b"")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(head, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "f1", "f2", "grams", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, grams array<long>, sketch binary")
 
 
+def both_have(u: np.ndarray, v: np.ndarray) -> int:
+    """Size of the intersection of two sorted rows."""
+    if len(u) > len(v):
+        u, v = v, u
+    return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+
+
 class Block:
-    """Rows of one tile, ordered by size, and the pairs that the bounds leave."""
+    """Rows (id, size, sketch, side) of one tile, ordered by size.
+
+    With ``exact`` the third member is the full row, from which the sketch is made.
+    """
 
-    def __init__(self, rows: list[tuple], num: int, den: int):
+    def __init__(self, rows: list[tuple], num: int, den: int, two_sided: bool, exact: bool):
         rows.sort(key=lambda r: (r[1], r[0]))
-        self.rows, self.num, self.den = rows, num, den
-        self.reps = [r[0] for r in rows]
+        self.num, self.den, self.two_sided, self.exact = num, den, two_sided, exact
+        self.ids = [r[0] for r in rows]
         self.sizes = np.array([r[1] for r in rows], np.int64)
         self.sides = np.array([r[3] for r in rows], np.int8)
-        self.labels = np.array([r[4] for r in rows], np.int64)
+        self.full = [np.frombuffer(r[2], np.uint64) for r in rows] if exact else []
+        self.sketches = [sketch(g, num, den, EXACT_BITS) for g in self.full] if exact else [r[2] for r in rows]
         self.levels: dict[int, np.ndarray] = {}
 
     def level(self, i: int, bits: int) -> np.ndarray:
-        """Sketches of the rows from i on, folded to ``bits``; row i is at 0."""
+        """Sketches of the rows from i on, folded to ``bits``; rows before the first of that length stay empty."""
         if bits not in self.levels:
-            out = np.zeros((len(self.rows), bits // 64), np.uint64)
-            for j in range(i, len(self.rows)):
-                raw = self.rows[j][2]
+            out = np.zeros((len(self.ids), bits // 64), np.uint64)
+            for j in range(i, len(self.ids)):
+                raw = self.sketches[j]
                 have = len(raw) * 8
                 out[j] = np.frombuffer(raw if have == bits else fold_to(int.from_bytes(raw, "little"), have, bits).to_bytes(bits // 8, "little"), np.uint64)
             self.levels[bits] = out
         return self.levels[bits]
 
-    def near(self, i: int) -> np.ndarray:
-        """Larger rows that may link with row i."""
+    def near(self, i: int, label: np.ndarray) -> np.ndarray:
+        """Larger rows under another label that the bounds let link with row i."""
         end = int(np.searchsorted(self.sizes, self.sizes[i] * self.den // self.num, side="right"))
-        if end <= i + 1:
-            return np.zeros(0, np.int64)
-        at = self.level(i, len(self.rows[i][2]) * 8)
-        apart = np.bitwise_count(at[i + 1 : end] ^ at[i]).sum(axis=1, dtype=np.int64)
-        fit = apart <= most_apart(self.sizes[i], self.sizes[i + 1 : end], self.num, self.den)
-        return i + 1 + np.flatnonzero(fit)
-
-    def pairs(self, two_sided: bool, again: bool) -> Iterator[tuple[int, int]]:
-        """First round: all pairs of a small block, else a spanning forest; again: all that join two labels."""
-        all_of = again or len(self.rows) <= SMALL
-        label = self.labels.copy() if again else np.arange(len(self.rows))
-        for i in range(len(self.rows) - 1):
-            found = self.near(i)
-            found = found[label[found] != label[i]]
-            if two_sided:
-                found = found[self.sides[found] != self.sides[i]]
-            if all_of:
-                for j in found.tolist():
-                    yield self.reps[i], self.reps[j]
-                continue
-            for other in dict.fromkeys(label[found].tolist()):
-                yield self.reps[i], self.reps[int(found[label[found] == other][0])]
-            if len(found):
-                label[np.isin(label, label[found])] = label[i]
-
-
-def pair_of_two(a: tuple, b: tuple, num: int, den: int, again: bool) -> bool:
-    """The bounds for a block of two rows, without arrays."""
-    if again and a[4] == b[4] or a[0] == b[0]:
-        return False
+        other = label[i + 1 : end] != label[i]
+        if self.two_sided:
+            other &= self.sides[i + 1 : end] != self.sides[i]
+        found = i + 1 + np.flatnonzero(other)
+        if not len(found):
+            return found
+        at = self.level(i, len(self.sketches[i]) * 8)
+        apart = np.bitwise_count(at[found] ^ at[i]).sum(axis=1, dtype=np.int64)
+        return found[apart <= most_apart(self.sizes[i], self.sizes[found], self.num, self.den)]
+
+    def linked(self, i: int, j: int) -> bool:
+        both = both_have(self.full[i], self.full[j])
+        return self.den * both >= self.num * (len(self.full[i]) + len(self.full[j]) - both)
+
+    def forest(self) -> Iterator[tuple[int, int]]:
+        """A spanning forest of the pairs that the bounds leave or, with full rows, of the true links."""
+        label = np.unique(self.ids, return_inverse=True)[1]
+        for i in range(len(self.ids) - 1):
+            found = self.near(i, label)
+            while len(found):
+                j = int(found[0])
+                if not self.exact or self.linked(i, j):
+                    yield self.ids[i], self.ids[j]
+                    label[label == label[j]] = label[i]
+                found = found[1:]
+                found = found[label[found] != label[i]]
+
+
+def pair_of_two(a: tuple, b: tuple, num: int, den: int) -> bool:
+    """The bounds for a block of two rows with sketches, without arrays."""
     if a[1] > b[1]:
         a, b = b, a
-    if a[1] * den < b[1] * num:
+    if a[0] == b[0] or a[1] * den < b[1] * num:
         return False
     bits = len(a[2]) * 8
     x = int.from_bytes(a[2], "little") ^ fold_to(int.from_bytes(b[2], "little"), len(b[2]) * 8, bits)
     return x.bit_count() <= most_apart(a[1], b[1], num, den)
 
 
-def candidates(entries: DataFrame, num: int, den: int, again: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of (gram, cnt, rep, n, sketch, label) rows: the blocks of the product."""
-    tiles = F.expr(f"int(ceil(cnt / {BLOCK}))")
+def forests(rows: DataFrame, key: str, num: int, den: int, exact: bool) -> DataFrame:
+    """Distinct (a, b) of the blocks' forests, for rows (key, tiles, rep, n, payload).
+
+    A block of t tiles a side is dealt to its t * (t + 1) / 2 pairs of tiles.
+    """
     own = F.expr("int(pmod(xxhash64(rep), tiles))")
     spread = (
-        entries.withColumn("tiles", tiles)
-        .withColumn("own", own)
+        rows.withColumn("own", own)
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-        .select("gram", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), F.expr("cast(own > other as tinyint)").alias("side"), "rep", "n", "sketch", "label")
+        .select(key, F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), F.expr("cast(own > other as tinyint)").alias("side"), "rep", "n", "payload")
     )
-    key = ["gram", "ti", "tj"]
-    dealt = spread.repartition(*key).sortWithinPartitions(*key)
+    keys = [key, "ti", "tj"]
+    dealt = spread.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, held = None, []
         out: set[tuple[int, int]] = set()
 
         def flush() -> None:
-            if len(rows) == 2 and now[1] == now[2]:
-                if pair_of_two(rows[0], rows[1], num, den, again):
-                    out.add((min(rows[0][0], rows[1][0]), max(rows[0][0], rows[1][0])))
-            elif len(rows) >= 2:
-                out.update((min(p), max(p)) for p in Block(rows, num, den).pairs(now[1] != now[2], again) if p[0] != p[1])
+            if len(held) == 2 and not exact and now[1] == now[2]:
+                if pair_of_two(held[0], held[1], num, den):
+                    out.add((min(held[0][0], held[1][0]), max(held[0][0], held[1][0])))
+            elif len(held) >= 2:
+                out.update((min(p), max(p)) for p in Block(held, num, den, now[1] != now[2], exact).forest())
 
         def batch_of(pairs: set) -> pa.RecordBatch:
             some = sorted(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for g, ti, tj, side, rep, n, bits, label in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            for g, ti, tj, side, rep, n, payload in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if (g, ti, tj) != now:
                     flush()
-                    now, rows = (g, ti, tj), []
-                rows.append((rep, n, bits, side, label))
+                    now, held = (g, ti, tj), []
+                held.append((rep, n, payload, side))
             if len(out) > 200_000:
                 yield batch_of(out)
                 out.clear()
@@ -189,42 +214,19 @@ def candidates(entries: DataFrame, num: int, den: int, again: bool) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def rows_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, row): the full gram rows of the documents that occur in pairs.
+def full_rows(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
+    """(cluster, tiles, rep, n, payload): the full rows of the clusters' documents.
 
-    The ids are broadcast while there are at most BROADCAST_IDS; beyond that
-    the join is shuffled.
+    The list of documents is broadcast if it was counted to be short; otherwise the join is shuffled.
     """
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    wanted = docs.join(fit_to_send(clusters), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], k)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "row"])
-
-    return wanted.mapInArrow(run, "doc_id long, row binary")
-
+            sets = [grams for grams, _ in shingle_sets([t or "" for t in part.column("text").to_pylist()], k)]
+            yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("tiles"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "tiles", "rep", "n", "payload"])
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs whose exact overlap reaches the threshold."""
-    rows = settle(rows_of(docs, pairs, k))
-    both = pairs.join(rows.select(F.col("doc_id").alias("a"), F.col("row").alias("x")), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("row").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                both_have = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
-                if den * both_have >= num * (len(u) + len(v) - both_have):
-                    kept.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in kept], pa.int64()), pa.array([p[1] for p in kept], pa.int64())], names=["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return wanted.mapInArrow(run, "cluster long, tiles int, rep long, n long, payload binary").filter("n > 0")
 
 
 def components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,22 +246,16 @@ def components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     classes = settle(classes.select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), "r.grams", "r.sketch"))
     single = classes.select(F.explode("grams").alias("gram"), "rep", "n")
     shared = single.groupBy("gram").agg(F.count("*").alias("cnt")).filter("cnt > 1")
-    entries = settle(single.join(shared, "gram").select("gram", "cnt", "rep", "n"))
-    carried = classes.select("rep", "n", "sketch")
-
-    first = settle(candidates(entries.join(carried, ["rep", "n"]).withColumn("label", F.lit(0).cast("long")), num, den, False))
-    links = settle(verified(docs, first, k, num, den))
+    entries = settle(single.join(shared, "gram").select("gram", F.expr(f"int(ceil(cnt / {BLOCK}))").alias("tiles"), "rep", "n"))
+    candidates = forests(entries.join(classes.select("rep", "n", F.col("sketch").alias("payload")), ["rep", "n"]), "gram", num, den, exact=False)
+
+    clusters = settle(connected(candidates))
+    sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    tiles = sized.groupBy("component").agg(F.expr(f"int(greatest(ceil(count(*) / {BLOCK}), ceil(8 * sum(n) / {BLOCK_BYTES})))").alias("tiles"))
+    dealt = clusters.join(tiles, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "tiles")
+    links = forests(full_rows(docs, dealt, k), "cluster", num, den, exact=True)
     found = settle(connected(links))
 
-    labelled = entries.filter(F.col("cnt") > SMALL).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    mixed = labelled.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("gram")
-    second = candidates(labelled.join(mixed, "gram").join(carried, ["rep", "n"]), num, den, True)
-    second = settle(second.join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        more = settle(verified(docs, second, k, num, den))
-        if not more.isEmpty():
-            found = settle(connected(links.union(more)))
-
     joined = classes.select("n", "f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = every.select("doc_id", "n", "f1", "f2").join(joined, ["n", "f1", "f2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -39,7 +39,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def seeds(texts: list[str], k: int = SEED_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, hash) of the seeds of all texts."""
-    words, at = word_hashes(texts)
+    words, at, _ = word_hashes(texts)
     runs = shingle_hashes(words, k)
     if len(runs) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -233,7 +233,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            words, at = word_hashes(part.column("text").to_pylist())
+            words, at, _ = word_hashes(part.column("text").to_pylist())
             short = (words >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "words"])
 

@@ -28,20 +28,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUES = mix(np.arange(256 * _POSITIONS, dtype=np.uint64))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the index of each text's first word (and the end)."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, the index of each text's first word (and the end), and the words' bytes."""
     coded = [t.encode() for t in texts]
     data = _LOWER[np.frombuffer(b"\n".join(coded), np.uint8)]
     begins = np.cumsum([0, *(len(c) + 1 for c in coded)])
     solid = np.flatnonzero(~_BLANK[data])
     if not len(solid):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.diff(solid, prepend=-2) != 1)  # into solid: where words begin
     sizes = np.diff(first, append=len(solid))
     place = np.arange(len(solid)) - np.repeat(first, sizes)
     key = (place << 8) | data[solid]
     values = _VALUES[key] if sizes.max() <= _POSITIONS else np.where(place < _POSITIONS, _VALUES[np.minimum(key, len(_VALUES) - 1)], mix(key.astype(np.uint64)))
-    return np.add.reduceat(values, first), np.searchsorted(solid[first], begins)
+    return np.add.reduceat(values, first), np.searchsorted(solid[first], begins), sizes
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -55,16 +55,21 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; with fewer than k words the sequence is one shingle."""
-    words, at = word_hashes(texts)
+def shingle_sets(texts: list[str], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, and the bytes of each shingle's words.
+
+    With fewer than k words the whole sequence is one shingle.
+    """
+    words, at, sizes = word_hashes(texts)
     every = shingle_hashes(words, k)
+    total = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= k:
-            out.append(np.unique(every[a : b - k + 1]))
+            grams, first = np.unique(every[a : b - k + 1], return_index=True)
+            out.append((grams, total[a + first + k] - total[a + first]))
         elif b > a:
-            out.append(shingle_hashes(words[a:b], b - a) ^ np.uint64(0x5851F42D4C957F2D * (b - a) & 0xFFFFFFFFFFFFFFFF))
+            out.append((shingle_hashes(words[a:b], b - a) ^ np.uint64(0x5851F42D4C957F2D * (b - a) & 0xFFFFFFFFFFFFFFFF), total[b : b + 1] - total[a]))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     return out
