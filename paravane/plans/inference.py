@@ -14,6 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paravane.functions import parsers
 
@@ -35,7 +36,7 @@ class Client(Protocol):
 
 def predict(df: DataFrame, load: Callable[[], Callable[[list], list[str]]], batch_size: int = 8) -> DataFrame:
     """Adds ``raw``, the model's output for ``messages``; ``load`` makes the model once per worker."""
-    schema = df.schema.add("raw", "string")
+    schema = StructType([*df.schema.fields, StructField("raw", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

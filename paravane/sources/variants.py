@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paravane import schemas
 
@@ -16,7 +17,7 @@ def read_rows(spark: SparkSession, *paths: str, torn_tail: bool = False) -> Data
 
     With ``torn_tail`` an incomplete last line, as a killed writer leaves, is dropped.
     """
-    schema = schemas.VARIANT_ROW.add("__bad", "string")
+    schema = StructType([*schemas.VARIANT_ROW.fields, StructField("__bad", StringType())])
     reader = spark.read.options(**CSV).schema(schema).option("columnNameOfCorruptRecord", "__bad").option("mode", "PERMISSIVE")
     df = reader.csv(list(paths)).withColumn("row_idx", F.monotonically_increasing_id())
     if torn_tail:
@@ -44,7 +45,7 @@ def validator_results(df: DataFrame) -> DataFrame:
 
 def read_skips(spark: SparkSession, path: str) -> DataFrame:
     """Skip manifest; what is malformed is left out, a malformed file gives no rows."""
-    schema = schemas.SKIPPED.add("_corrupt_record", "string")
+    schema = StructType([*schemas.SKIPPED.fields, StructField("_corrupt_record", StringType())])
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).cache()
     return df.filter("_corrupt_record IS NULL AND id IS NOT NULL AND reason IS NOT NULL").drop("_corrupt_record")
 
