@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from paravane.llm.common import keyed_text, text_slices
 
 #: Labelled documents that are used at most, lexicon entries kept, and documents an entry must mark.
-SAMPLE_ROWS, LEXICON, LEAST_DOCS = 6_000, 4_000, 3
+SAMPLE_ROWS, LEXICON, LEAST_DOCS = 6_000, 4_000, 5
 #: Lengths of stems; the log-odds an entry needs.
 STEMS, LEAST_ODDS = range(4, 9), 2.2
 
