@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paravane import config
 from paravane.operators import bootstrap, clean, metrics, statistics
-from paravane.plans import analyze, sinks
+from paravane.plans import analyze, augment, inference, sinks
 from paravane.plans.analyze import KEYS
 from paravane.registry import DATASETS, EVALUATORS, PARAMETERS
 from paravane.schemas import VARIANTS
@@ -54,6 +55,54 @@ def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
         clean_one(spark, p, a.raw, a.out, a.seed, a.force)
 
 
+def named(reference: str):
+    """The object that 'module:name' refers to."""
+    module, _, name = reference.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def run_augment(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Build both rewritten variants; --client is 'module:factory' of an object with complete(prompt, temperature, max_output_tokens)."""
+    cfg = config.load(config.AugmentConfig, a.config, seed=a.seed)
+    make, root = named(a.client), f"{a.rows}/{cfg.dataset}"
+    templates = {"paraphrase": Path(cfg.prompts.paraphrase).read_text(), "idiomatic": Path(cfg.prompts.idiomatic).read_text()}
+    source, builds = variants.read_rows(spark, f"{root}/original"), {}
+    for variant, template in templates.items():
+        path = f"{root}/{variant}"
+        prior = variants.read_rows(spark, path, torn_tail=True) if Path(path).exists() else None
+        skips = variants.read_skips(spark, f"{path}.skips") if Path(f"{path}.skips").exists() else None
+        judges = {name: judge(Path(settings["prompt"]).read_text()) for name, settings in cfg.validators.items() if settings.get("prompt") and name in inference.CHECKS[variant]}
+        rewrite = lambda df, judges=judges: inference.rewrite(df, make, judges, cfg.decoding.temperature, cfg.decoding.max_output_tokens, cfg.retry.max_attempts, cfg.retry.backoff_seconds)
+        builds[variant] = augment.build_variant(source, variant, template, cfg.augmenter_model, rewrite, prior, skips)
+        sinks.append_checkpoint(builds[variant].rows, f"{path}.progress")
+        if builds[variant].paused:
+            raise SystemExit(f"{variant}: paused by the provider; run again to resume")
+    rows, skips = augment.finish(builds)
+    for variant in templates:
+        sinks.write_rows(rows.filter(F.col("variant") == variant), f"{root}/{variant}", True)
+        sinks.write_skips(skips.filter(F.col("variant") == variant), f"{root}/{variant}.skips")
+
+
+def judge(template: str):
+    """Renders a judge's prompt from a rewrite and its row."""
+    return lambda x, row: template.replace("{original}", row["x"]).replace("{rewritten}", x) if "{original}" in template else template.replace("{rewritten}", x)
+
+
+def run_eval(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Evaluate every variant; --client is 'module:loader' of a function from chats to texts."""
+    from paravane.plans import evaluate
+
+    cfg, evaluator, load = config.load(config.EvalConfig, a.config, seed=a.seed), EVALUATORS.get(a.dataset), named(a.client)
+    target = Path(f"{a.results}/{a.dataset}/{cfg.model.replace('/', '_')}")
+    sinks.guard(target, a.force)
+    on_disk = {v for v in VARIANTS if Path(f"{a.rows}/{a.dataset}/{v}").exists()}
+    for v in config.resolve_variants(on_disk, a.variants.split(",") if a.variants else None):
+        rows = variants.first_rows(variants.read_rows(spark, f"{a.rows}/{a.dataset}/{v}"), a.limit, v)
+        done = evaluate.evaluate(rows, evaluator, lambda df: inference.predict(df, load, cfg.batch.size))
+        done.withColumn("model_id", F.lit(cfg.model)).withColumn("dataset", F.lit(a.dataset)).write.mode("overwrite").parquet(f"{target}/{v}")
+        evaluate.run_metrics(spark.read.parquet(f"{target}/{v}")).show(truncate=False)
+
+
 def run_replay(spark: SparkSession, a: argparse.Namespace) -> None:
     """Score stored raw outputs again and print the metrics of each variant."""
     from paravane.plans import evaluate
@@ -141,7 +190,7 @@ def run_agreement(spark: SparkSession, a: argparse.Namespace) -> None:
     analyze.test_agreement(statistics.mcnemar_table(cells, KEYS), bootstrap.difference_table(cells, KEYS, a.resamples, a.seed)).show()
 
 
-COMMANDS = {"clean": run_clean, "replay": run_replay, "analyze": run_analyze, "plot-dataset": run_plot_dataset, "plot-summary": run_plot_summary, "variant-confusion": run_confusion, "naive-contrast": run_naive, "arm-overlap": run_overlap, "report-tables": run_report, "scale-trend": run_trend, "test-agreement": run_agreement}
+COMMANDS = {"clean": run_clean, "augment": run_augment, "eval": run_eval, "replay": run_replay, "analyze": run_analyze, "plot-dataset": run_plot_dataset, "plot-summary": run_plot_summary, "variant-confusion": run_confusion, "naive-contrast": run_naive, "arm-overlap": run_overlap, "report-tables": run_report, "scale-trend": run_trend, "test-agreement": run_agreement}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -163,6 +212,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--dataset")
         p.add_argument("--datasets", default="sst2,mmlu,mnli")
         p.add_argument("--variants")
+        p.add_argument("--client", help="module:name of a client factory or model loader")
     return top
 
 

@@ -39,7 +39,8 @@ def write_rows(df: DataFrame, path: str, force: bool = False) -> None:
 
 def with_validators_json(df: DataFrame) -> DataFrame:
     """The validators map as JSON with its names in order."""
-    ordered = F.map_from_entries(F.array_sort(F.map_entries("validators")))
+    names = F.array_sort(F.map_keys("validators"))
+    ordered = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at("validators", n)))
     return df.withColumn("validators", F.to_json(ordered, {"ignoreNullFields": "false"}))
 
 
@@ -48,6 +49,17 @@ def append_checkpoint(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_cache(df: DataFrame, path: str, enabled: bool = True) -> None:
+    """Cached responses, appended before they are used; nothing happens while the cache is off."""
+    if enabled:
+        df.select("prompt_hash", "augmenter_model", "id", F.to_json(F.struct(F.col("response").alias("x"))).alias("record")).write.mode("append").parquet(path)
+
+
+def write_skips(df: DataFrame, path: str) -> None:
+    """The skip manifest, in id order, as one JSON record a line."""
+    df.orderBy("id", "variant").write.mode("overwrite").json(path)
+
+
 def atomic_text(path: str | Path, text: str) -> None:
     """Write beside the target, then rename: readers see the old file or the new one."""
     target = Path(path)

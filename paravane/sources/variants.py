@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -46,7 +48,8 @@ def validator_results(df: DataFrame) -> DataFrame:
 def read_skips(spark: SparkSession, path: str) -> DataFrame:
     """Skip manifest; what is malformed is left out, a malformed file gives no rows."""
     schema = StructType([*schemas.SKIPPED.fields, StructField("_corrupt_record", StringType())])
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).cache()
+    lines = Path(path).is_dir()  # a folder holds records a line, a file one JSON array
+    df = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path).cache()
     return df.filter("_corrupt_record IS NULL AND id IS NOT NULL AND reason IS NOT NULL").drop("_corrupt_record")
 
 

@@ -188,6 +188,38 @@ def test_registry():
     assert registry.pick_device(False, True) == "mps" and registry.pick_precision("cpu", "bf16") == "fp32"
 
 
+def test_cache_and_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([("h", "m", "1", "text"), ("h", "m", "2", None)], "prompt_hash string, augmenter_model string, id string, response string")
+    sinks.append_cache(rows, str(tmp_path / "cache"))
+    sinks.append_cache(rows, str(tmp_path / "off"), enabled=False)
+    assert [r["id"] for r in variants.read_cache(spark, str(tmp_path / "cache")).collect()] == ["1"] and not (tmp_path / "off").exists()
+    skips = spark.createDataFrame([("2", "idiomatic", "unaligned", [], 0), ("1", "idiomatic", "validation_failed", ["x"], 3)], schemas.SKIPPED)
+    sinks.write_skips(skips, str(tmp_path / "skips"))
+    assert sorted(r["id"] for r in variants.read_skips(spark, str(tmp_path / "skips")).collect()) == ["1", "2"]
+
+
+def test_eval_and_clean_commands(spark, tmp_path, monkeypatch):
+    raw = str(tmp_path / "raw")
+    spark.createDataFrame([(f"word {i} here", i % 2) for i in range(8)], "sentence string, label int").coalesce(1).write.parquet(raw)
+    cfg = tmp_path / "clean.yaml"
+    cfg.write_text("dataset: sentences\nseed: 1\nhf_revision: r\nlength: {min_tokens: 1, max_tokens: 9}\nmax_rows: 6\nnormalize: [nfc, collapse_whitespace]\ndedupe: true\n")
+    cli.main(["clean", "--config", str(cfg), "--raw", raw, "--out", str(tmp_path / "rows")])
+    side = json.loads((tmp_path / "rows" / "sentences" / "original.meta.json").read_text())
+    assert side["row_counts"]["written"] == 6 and side["row_counts"]["raw_loaded"] == 8
+    (tmp_path / "rows" / "sentences").rename(tmp_path / "rows" / "sst2")
+    model = tmp_path / "eval.yaml"
+    model.write_text("model: m\n")
+    cli.main(["eval", "--config", str(model), "--dataset", "sst2", "--rows", str(tmp_path / "rows"), "--results", str(tmp_path / "res"), "--client", "paravane.plans.q_more:stub_model"])
+    assert spark.read.parquet(str(tmp_path / "res" / "sst2" / "m" / "original")).count() == 6
+    with pytest.raises(SystemExit):
+        cli.main(["clean"])
+
+
+def test_panel():
+    assert len(registry.MODELS.names()) == 14 and registry.ascending(list(registry.PARAMETERS.values()))
+    assert registry.MODELS.get("yi-1.5-6b-chat").default_precision == "bf16"
+
+
 def test_reports():
     assert sinks.points(None) == "---" and sinks.points(0.0123) == "+1.23" and sinks.points(-0.02, bold=True) == r"\textbf{$-$2.00}"
     text = sinks.latex_panels(["a", "b", "c"], {"a": "A"}, {("d", "a"): (0.01, 0.01)}, ["d"])
