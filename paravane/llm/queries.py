@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paravane.llm import ann, bpe_tree, decontaminate, html_extract, jaccard_join, langid, passages, quality, token_count, toxicity
+from paravane.llm import ann, bpe_tree, decontaminate, html_extract, jaccard_join, langid, oracle, passages, quality, token_count, toxicity
 from paravane.llm.common import fold, labelled, table
 
 #: Where the public vocabularies are; they are never copied into the repository.
@@ -73,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
