@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paravane.llm.common import settle
+from paravane.llm.common import arrow_map, settle
 
 #: Vectors the index is fitted on at most; cells at most; vectors a cell should hold.
 SAMPLE_ROWS, MAX_CELLS, CELL_ROWS = 20_000, 2048, 128
@@ -194,7 +194,7 @@ def search(df: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id",
             cell, codes = shared.value.encode(matrix(batch.column("v"), d))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "cell", "code"])
 
-    indexed = settle(stored.mapInArrow(assign, "vec_id long, v array<double>, cell int, code binary"))
+    indexed = settle(arrow_map(stored, assign, "vec_id long, v array<double>, cell int, code binary"))
     sizes = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell: MAX_CELLS at most
     index.sizes = np.array([sizes.get(c, 0) for c in range(len(index.centres))], np.int64)
     shared = spark.sparkContext.broadcast(index)
@@ -205,7 +205,7 @@ def search(df: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id",
                 cells = shared.value.cells_for(matrix(part.column("v"), d), top + 1)
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([c.tolist() for c in cells], pa.list_(pa.int32()))], names=["query_id", "v", "cells"])
 
-    asked = settle(rows.filter(is_query).mapInArrow(probe, "query_id long, v array<double>, cells array<int>"))
+    asked = settle(arrow_map(rows.filter(is_query), probe, "query_id long, v array<double>, cells array<int>"))
     shard = index.shards()
     loads = np.bincount(shard, index.sizes).astype(int)
     place = spark.createDataFrame([(c, int(s)) for c, s in enumerate(shard)], "cell int, shard int")  # MAX_CELLS rows at most

@@ -31,14 +31,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from paravane.llm.common import keyed_text, text_slices
+from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
 
 #: Characters of a text leaf, bytes of a token leaf, identifiers of a decoding leaf.
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 4096, 12, 4096
 #: A match is decided by at most this many characters beyond its end.
 LOOK = 3
 #: Entries of the per-worker cache of encoded matches, and the longest match kept.
-CACHE, CACHE_CHARS = 300_000, 48
+CACHE, CACHE_CHARS = 200_000, 48
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -70,7 +70,7 @@ class TreeBPE:
         self.split = regex.compile(pattern)
         self.token = {v: k for k, v in ranks.items()}
         self.pieces = _Pieces(self.encode_match)
-        self.stable = functools.lru_cache(200_000)(self._stable)
+        self.stable = functools.lru_cache(50_000)(self._stable)
 
     # -- tokens of one match ------------------------------------------------
     def window(self, data: bytes) -> list[int]:
@@ -170,14 +170,15 @@ def codec(data: bytes, pattern: str) -> TreeBPE:
     return TreeBPE(read_ranks(data), pattern)
 
 
-def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
     """Encode each whole text and decode the identifiers again.
 
     Returns (doc_id, token_ids binary, decoded binary): token_ids holds the
     identifiers as little-endian unsigned 32-bit integers, decoded the bytes
     they stand for.  A null or empty text gives empty binaries; repeated rows
     are encoded each; other input columns are ignored; an empty table gives an
-    empty result.  The rank file is read on the driver and broadcast (its size
+    empty result.  With text_col None the key is a struct that holds the text.
+    The rank file is read on the driver and broadcast (its size
     is that of a vocabulary and does not grow with the data).  Rows are
     independent: no shuffle, and a lost executor costs only its tasks.
     """
@@ -188,9 +189,9 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks.value, pattern)
-        for part in text_slices(batches, 2 << 20):
-            ids = [bpe.encode(t) if t else b"" for t in part.column("text").to_pylist()]
+        for part in text_slices(batches):
+            ids = [bpe.encode(t) if t else b"" for t in text_of(part).to_pylist()]
             out = [bpe.decode_packed(x) for x in ids]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "token_ids", "decoded"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, token_ids binary, decoded binary")
+    return arrow_map(source, run, f"doc_id {kind}, token_ids binary, decoded binary")

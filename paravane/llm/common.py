@@ -2,22 +2,64 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id, text): other columns, whatever their names, never reach an operator."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
+    """Only (doc_id, text): other columns, whatever their names, never reach an operator.
+
+    Without a text column the key is a struct, and the text is its field ``text``: whole rows can
+    then travel as the key, and their texts are sent once.
+    """
+    key = F.col(id_col).alias("doc_id")
+    return df.select(key) if text_col is None else df.select(key, F.col(text_col).alias("text"))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a (doc_id, text) batch, or of its keys."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    key = batch.column("doc_id")
+    return pc.struct_field(key, key.type.get_field_index("text"))
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on and share a small budget."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` that keeps a worker's memory small: plain allocation, freed memory returned after each task."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(framed, schema)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, for rows that may be long."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,11 +87,11 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % modulus
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
         n = batch.num_rows
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(text_of(batch)), 0).to_pylist()
         start, held = 0, 0
         for i in range(n):
             held += sizes[i]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import text_slices
+from paravane.llm.common import arrow_map, text_slices
 
 #: Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -355,4 +355,4 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", mode
             texts = [weights.extract(t) if t else "" for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(texts, pa.string())], names=["page_id", "text"])
 
-    return source.mapInArrow(run, f"page_id {kind}, text string")
+    return arrow_map(source, run, f"page_id {kind}, text string")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import fit_to_send, keyed_text, settle, text_slices
+from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices
 from paravane.llm.components import connected
 from paravane.llm.words import mix, shingle_sets
 
@@ -91,7 +91,7 @@ def profile(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 bits.append(sketch(grams, num, den) if len(grams) else b"")
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(head, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "f1", "f2", "grams", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, grams array<long>, sketch binary")
+    return arrow_map(docs, run, "doc_id long, n long, f1 long, f2 long, grams array<long>, sketch binary")
 
 
 def both_have(u: np.ndarray, v: np.ndarray) -> int:
@@ -199,7 +199,7 @@ def forests(rows: DataFrame, key: str, num: int, den: int, exact: bool) -> DataF
             some = sorted(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for g, ti, tj, side, rep, n, payload in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if (g, ti, tj) != now:
                     flush()
@@ -211,7 +211,7 @@ def forests(rows: DataFrame, key: str, num: int, den: int, exact: bool) -> DataF
         flush()
         yield batch_of(out)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(dealt, run, "a long, b long").distinct()
 
 
 def full_rows(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
@@ -226,7 +226,7 @@ def full_rows(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
             sets = [grams for grams, _ in shingle_sets([t or "" for t in part.column("text").to_pylist()], k)]
             yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("tiles"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "tiles", "rep", "n", "payload"])
 
-    return wanted.mapInArrow(run, "cluster long, tiles int, rep long, n long, payload binary").filter("n > 0")
+    return arrow_map(wanted, run, "cluster long, tiles int, rep long, n long, payload binary").filter("n > 0")
 
 
 def components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

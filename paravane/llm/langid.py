@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paravane.llm.common import keyed_text, text_slices
+from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
 
 #: Bounds of the training sample: documents and symbols a language, symbols a document, and languages.
 SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 400, 48_000, 1_200, 64
@@ -181,7 +181,7 @@ def sample(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
     return tuple(sorted((k, "\n".join(v)) for k, v in out.items()))
 
 
-def identify(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
     """Language of each whole text: (doc_id, lang_pred string, score double).
 
     ``labelled`` has (doc_id, text, lang).  A text that is null or has no
@@ -199,9 +199,9 @@ def identify(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = parser(shared.value) if shared.value else None
         for part in text_slices(batches, 1 << 20):
-            texts = [t or "" for t in part.column("text").to_pylist()]
+            texts = [t or "" for t in text_of(part).to_pylist()]
             found = learned.predict(texts) if learned else [(UNDETERMINED, 0.0)] * len(texts)
             found = [x if any(map(str.isalpha, t)) else (UNDETERMINED, 0.0) for x, t in zip(found, texts)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return arrow_map(source, run, f"doc_id {kind}, lang_pred string, score double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import fit_to_send, keyed_text, settle, text_slices
+from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices
 from paravane.llm.words import shingle_hashes, word_hashes
 
 #: Words of a seed, and the consecutive seeds of which the smallest is taken.
@@ -185,9 +185,10 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text], pa.int64()), pa.array(place, pa.int32())], names=["h", "doc_id", "at"])
 
-    sown = docs.mapInArrow(sow, "h long, doc_id long, at int")
-    # the packed pair (document, place) orders like the pair itself
+    sown = arrow_map(docs, sow, "h long, doc_id long, at int")
+    # written out, so that both sides of the join are shuffled for it alone and a hot seed can be split
     firsts = sown.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("s")).filter("n > 1").select("h", F.col("s.doc_id").alias("source_id"), F.col("s.at").alias("source_at"))
+    firsts = settle(firsts)
     matches = sown.join(firsts, "h").filter("doc_id <> source_id").select("doc_id", "source_id", "at", "source_at")
     dealt = matches.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "at", "source_at")
 
@@ -228,7 +229,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
         if held:
             yield work(held)
 
-    chained = settle(dealt.mapInArrow(chain, "doc_id long, source_id long, runs binary"))
+    chained = settle(arrow_map(dealt, chain, "doc_id long, source_id long, runs binary"))
     ids = fit_to_send(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +238,11 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
             short = (words >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "words"])
 
-    words = settle(docs.join(ids, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, words binary"))
+    words = settle(arrow_map(docs.join(ids, "doc_id", "left_semi"), pack, "doc_id long, words binary"))
     both = chained.join(words, "doc_id").join(words.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words")), "source_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for d, s, packed, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source_id", "runs", "words", "source_words"))):
                 runs = [tuple(r) for r in np.frombuffer(packed, np.int32).reshape(-1, 5).tolist()]
@@ -256,7 +257,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "alike"])
 
-    found = both.select("doc_id", "source_id", "runs", "words", "source_words").mapInArrow(verify, "doc_id long, start_word int, n_words int, source_id long, source_start int, source_words int, alike double")
+    found = arrow_map(both.select("doc_id", "source_id", "runs", "words", "source_words"), verify, "doc_id long, start_word int, n_words int, source_id long, source_start int, source_words int, alike double")
     return found.distinct()
 
 
@@ -285,10 +286,10 @@ def remove(df: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col:
     names = df.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [cut_words(t, [(s["start_word"], s["n_words"]) for s in spans]) if t else t for t, spans in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist())]
             kept = [i for i, t in enumerate(texts) if t]
             columns = [pa.array(texts, batch.column(c).type) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).take(pa.array(kept, pa.int64()))
 
-    return marked.filter("__spans IS NULL").select(*names).union(touched.mapInArrow(cut, df.schema))
+    return marked.filter("__spans IS NULL").select(*names).union(arrow_map(touched, cut, df.schema))

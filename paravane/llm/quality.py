@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import keyed_text, text_slices
+from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
 
 #: Hashed features; labelled rows that are used at most; the largest number of grades.
 FEATURES, SAMPLE_ROWS, MAX_GRADES = 4096, 3_000, 32
@@ -93,10 +93,10 @@ def train(labelled: DataFrame) -> CumulativeLink | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            x = features([t or "" for t in part.column("text").to_pylist()]).astype(np.float16)
+            x = features([t or "" for t in text_of(part).to_pylist()]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("rating"), pa.array([r.tobytes() for r in x], pa.binary())], names=["rating", "x"])
 
-    got = rows.withColumn("rating", F.col("rating").cast("double")).mapInArrow(run, "rating double, x binary").collect()
+    got = arrow_map(rows.withColumn("rating", F.col("rating").cast("double")), run, "rating double, x binary").collect()
     if not got:
         return None
     y = np.array([r["rating"] for r in got])
@@ -107,7 +107,7 @@ def train(labelled: DataFrame) -> CumulativeLink | None:
     return CumulativeLink.fit(x[order], y[order])
 
 
-def grade(df: DataFrame, labelled: DataFrame, least: float = 1.0, keep: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grade(df: DataFrame, labelled: DataFrame, least: float = 1.0, keep: float = 0.5, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
     """Expected grade of each whole text: (doc_id, expected_grade, tail_prob, selected).
 
     ``labelled`` has (doc_id, text, rating).  tail_prob is the probability of a
@@ -126,7 +126,7 @@ def grade(df: DataFrame, labelled: DataFrame, least: float = 1.0, keep: float =
             if model.value is None:
                 mean = tail = [None] * part.num_rows
             else:
-                mean, tail = (v.tolist() for v in model.value.predict(features([t or "" for t in part.column("text").to_pylist()]), least))
+                mean, tail = (v.tolist() for v in model.value.predict(features([t or "" for t in text_of(part).to_pylist()]), least))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(mean, pa.float64()), pa.array(tail, pa.float64()), pa.array([p is not None and p >= keep for p in tail], pa.bool_())], names=["doc_id", "expected_grade", "tail_prob", "selected"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_prob double, selected boolean")
+    return arrow_map(source, run, f"doc_id {kind}, expected_grade double, tail_prob double, selected boolean")

@@ -19,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from paravane.llm.common import keyed_text, text_slices
+from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
 
 #: Entries of the per-worker cache of counts by match, and the longest match kept.
-CACHE, CACHE_CHARS = 400_000, 48
+CACHE, CACHE_CHARS = 200_000, 48
 
 #: Fixed values of the byte-level format: the split pattern, and the bytes that stand for themselves.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,7 +116,7 @@ def counter(data: bytes) -> HeapCounter:
     return HeapCounter(data)
 
 
-def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
     """Bytes and tokens of each whole text: (doc_id, n_bytes long, n_tokens long).
 
     A null or empty text has no bytes and no tokens; repeated rows are counted
@@ -131,9 +131,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heap = counter(data.value)
-        for part in text_slices(batches, 4 << 20):
-            texts = part.column("text").to_pylist()
+        for part in text_slices(batches):
+            texts = text_of(part).to_pylist()
             size = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, pa.array([heap.count(t) if t else 0 for t in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return arrow_map(source, run, f"doc_id {kind}, n_bytes long, n_tokens long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import keyed_text, text_slices
+from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
 
 #: Labelled documents that are used at most, lexicon entries kept, and documents an entry must mark.
 SAMPLE_ROWS, LEXICON, LEAST_DOCS = 6_000, 4_000, 5
@@ -204,14 +204,15 @@ def hash_half(text: str) -> int:
     return zlib.crc32(text.encode()) & 1
 
 
-def score(df: DataFrame, labelled: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, labelled: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
     """Toxicity of each whole text: (doc_id, score double 0..1, predicted int).
 
     ``labelled`` has (doc_id, text, toxic); predicted is 1 from ``threshold``
     on.  Null and empty texts match no clause and get the score of such a
     text.  Without labels of both kinds the seed lexicon alone scores.
     Repeated rows are scored each, other columns are ignored, an empty table
-    gives an empty result.  Only the grammar (bounded by LEXICON) is broadcast.
+    gives an empty result.  With text_col None the key is a struct that holds the
+    text.  Only the grammar (bounded by LEXICON) is broadcast.
     """
     source = keyed_text(df, id_col, text_col)
     grammar, weights = train(labelled)
@@ -221,9 +222,9 @@ def score(df: DataFrame, labelled: DataFrame, threshold: float = 0.3, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stems, w = shared.value
         own = Grammar(words, stems)
-        for part in text_slices(batches, 4 << 20):
-            x = [sum(a * b for a, b in zip(w, own.features(t))) for t in part.column("text").to_pylist()]
+        for part in text_slices(batches):
+            x = [sum(a * b for a, b in zip(w, own.features(t))) for t in text_of(part).to_pylist()]
             p = [0.5 * (1 + math.tanh(0.5 * v)) for v in x]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, pa.float64()), pa.array([int(v >= threshold) for v in p], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return arrow_map(source, run, f"doc_id {kind}, score double, predicted int")
