@@ -274,10 +274,10 @@ def labelled_pages(count: int, seed: int = 11) -> list[tuple[str, list[str]]]:
             return f"<{tag}>{inner % text}</{tag}>" if rng.random() < 0.9 or tag != "p" else f"<p>{inner % text}"
 
         def noise(kind: str) -> str:
-            short, long = sentence(2, 8, rng.choice(["", "."])), paragraph()
+            short, long = rng.choice([sentence(2, 8, rng.choice(["", "."])), word().capitalize()]), paragraph()
             return {
                 "nav": lambda: rng.choice(["<nav><ul>%s</ul></nav>", '<div class="menu"><ul>%s</ul></div>', '<ul class="nav">%s</ul>', '<div id="breadcrumbs"><ul>%s</ul></div>']) % links(rng.randint(3, 9)),
-                "header": lambda: rng.choice(["<header><h1>%s</h1><p>%s</p></header>", '<div id="header"><h2>%s</h2><p>%s</p></div>', '<div class="masthead"><div>%s</div><p>%s</p></div>']) % (short, sentence(3, 9, "")),
+                "header": lambda: rng.choice(["<header><h1>%s</h1><p>%s</p></header>", "<header><h1>%s</h1><!--%s--></header>", '<div id="header"><h2>%s</h2><p>%s</p></div>', '<div class="masthead"><div>%s</div><p>%s</p></div>']) % (short, sentence(3, 9, "")),
                 "footer": lambda: rng.choice(["<footer>&copy; %s &middot; %s</footer>", '<div class="footer"><p>&copy; %s</p><p>%s</p></div>', "<footer><p>%s</p><p>%s</p></footer>"]) % (word(), paragraph()),
                 "side": lambda: rng.choice(["<aside><h3>%s</h3><ul>%s</ul></aside>", '<div class="sidebar"><h3>%s</h3><ul>%s</ul></div>']) % (short, links(4)) if rng.random() < 0.6 else f"<aside><p>{long}</p></aside>",
                 "ad": lambda: rng.choice(['<div class="ad">%s</div>', '<div class="advert"><p>%s</p></div>', '<div id="sponsored">%s</div>', '<div class="promo banner"><p>%s</p></div>']) % rng.choice([short, long]),
@@ -295,7 +295,7 @@ def labelled_pages(count: int, seed: int = 11) -> list[tuple[str, list[str]]]:
             for _ in range(rng.choice([1, 2, 4, 8, 15])):
                 kind = rng.random()
                 if kind < 0.72:
-                    out.append(block(paragraph(), "p", rng.choice(["%s", "%s", "<b>%s</b>", "<b>%s<br>", '<a href="#">' + "</a>%s"])))
+                    out.append(block(paragraph() if rng.random() < 0.93 else word()[: rng.randint(1, 9)], "p", rng.choice(["%s", "%s", "<b>%s</b>", "<b>%s<br>", '<a href="#">' + "</a>%s"])))
                 elif kind < 0.82:
                     out.append(block(sentence(2, 6, ""), rng.choice(["h2", "h3"])))
                 elif kind < 0.89:
