@@ -5,12 +5,13 @@ shared weights over hashed text features and ordered thresholds:
 P(grade <= g_k) = sigmoid(theta_k - w.x).  The thresholds are kept in order by
 writing each as the one before plus the exponential of a free parameter.
 Features are the frequencies of hashed byte trigrams of the whole text, as
-square roots, so their vector has length one.
+square roots, and how much its words repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,30 @@ from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
 
 #: Hashed features; labelled rows that are used at most; the largest number of grades.
 FEATURES, SAMPLE_ROWS, MAX_GRADES = 4096, 3_000, 32
+#: Steps of a share, in eighths from 0 to 1.
+SHARES = 9
 STEPS, RATE, RIDGE = 250, 0.1, 3e-4
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """A row per text; an empty text, or one under three bytes, is all zeros."""
-    out = np.zeros((len(texts), FEATURES), np.float32)
+    """A row per text: hashed trigram frequencies as square roots, then what the words repeat.
+
+    The last columns mark, in eighths, the share of words equal to the one before and the share of
+    distinct words.  A text without words has zeros only.
+    """
+    out = np.zeros((len(texts), FEATURES + 2 * SHARES), np.float32)
     shift = np.uint32(32 - (FEATURES - 1).bit_length())
     for k, text in enumerate(texts):
         b = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
         if len(b) >= 3:
             h = (b[:-2] * _MIX[0] + b[1:-1] * _MIX[1] + b[2:] * _MIX[2]) * np.uint32(0x27D4EB2F)
-            out[k] = np.sqrt(np.bincount(h >> shift, minlength=FEATURES) / len(h))
+            out[k, :FEATURES] = np.sqrt(np.bincount(h >> shift, minlength=FEATURES) / len(h))
+        words = text.lower().split()
+        if words:
+            again = sum(map(eq, words, words[1:])) / len(words)
+            out[k, FEATURES + int(again * (SHARES - 1))] = 0.5
+            out[k, FEATURES + SHARES + int(len(set(words)) / len(words) * (SHARES - 1))] = 0.5
     return out
 
 
