@@ -280,16 +280,18 @@ def remove(df: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col:
     A row whose text is left blank by the cut is dropped: all of it repeats
     earlier documents.  All columns are kept.
     """
-    spans = passages.groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
-    marked = df.join(fit_to_send(spans), id_col, "left")
-    touched = marked.filter("__spans IS NOT NULL")
+    spans = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+    # whole rows travel as one column, whatever their columns are called
+    marked = df.select(F.col(id_col).alias("doc_id"), F.struct(*df.columns).alias("row")).join(fit_to_send(spans), "doc_id", "left")
     names = df.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [cut_words(t, [(s["start_word"], s["n_words"]) for s in spans]) if t else t for t, spans in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist())]
-            kept = [i for i, t in enumerate(texts) if t]
-            columns = [pa.array(texts, batch.column(c).type) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names).take(pa.array(kept, pa.int64()))
-
-    return marked.filter("__spans IS NULL").select(*names).union(arrow_map(touched, cut, df.schema))
+            columns = dict(zip(names, batch.column("row").flatten()))
+            texts = [cut_words(t, [(s["start_word"], s["n_words"]) for s in spans]) if t else t for t, spans in zip(columns[text_col].to_pylist(), batch.column("spans").to_pylist())]
+            columns[text_col] = pa.array(texts, columns[text_col].type)
+            kept = pa.array([i for i, t in enumerate(texts) if t], pa.int64())
+            yield pa.RecordBatch.from_arrays([columns[c].take(kept) for c in names], names=names)
+
+    touched = arrow_map(marked.filter("spans IS NOT NULL").select("row", "spans"), cut, df.schema)
+    return marked.filter("spans IS NULL").select("row.*").union(touched)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paravane.llm import ann, bpe_tree, decontaminate, html_extract, jaccard_join, langid, oracle, passages, quality, token_count, toxicity
@@ -16,21 +16,26 @@ RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a row's id falls into the fold that is not learned from; a null id does not."""
+    return F.coalesce(fold("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, docs.filter(fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probability; learned from labels.quality outside the held-out fold."""
     found = quality.grade(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", "rating"))
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "expected_grade", "tail_prob", "selected")
+    return found.select("doc_id", held_out(4, 2), "expected_grade", "tail_prob", "selected")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", "toxic"))
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out(4, 2), "score", "predicted")
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
