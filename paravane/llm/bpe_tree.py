@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
 
 #: Characters of a text leaf, bytes of a token leaf, identifiers of a decoding leaf.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 4096, 12, 4096
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 4096, 6, 4096
 #: A match is decided by at most this many characters beyond its end.
 LOOK = 3
 #: Entries of the per-worker cache of encoded matches, and the longest match kept.
 CACHE, CACHE_CHARS = 200_000, 48
+#: Entries of the caches of encoded windows and of stable pairs.
+WINDOWS = 60_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -70,10 +72,12 @@ class TreeBPE:
         self.split = regex.compile(pattern)
         self.token = {v: k for k, v in ranks.items()}
         self.pieces = _Pieces(self.encode_match)
-        self.stable = functools.lru_cache(50_000)(self._stable)
+        # short byte strings recur at the borders and leaves of many different matches
+        self.window = functools.lru_cache(WINDOWS)(self._window)
+        self.stable = functools.lru_cache(WINDOWS)(self._stable)
 
     # -- tokens of one match ------------------------------------------------
-    def window(self, data: bytes) -> list[int]:
+    def _window(self, data: bytes) -> tuple[int, ...]:
         """Merge a short window: the adjacent pair of lowest rank first, leftmost on ties."""
         ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
@@ -85,12 +89,12 @@ class TreeBPE:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return tuple([ranks[p] for p in parts])
 
     def _stable(self, left: int, right: int) -> bool:
-        return self.window(self.token[left] + self.token[right]) == [left, right]
+        return self.window(self.token[left] + self.token[right]) == (left, right)
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The product of two encoded halves."""
         if not left or not right:
             return left or right
@@ -104,16 +108,16 @@ class TreeBPE:
             i = i if fits_left else min(2 * i, len(left))
             j = j if fits_right else min(2 * j, len(right))
 
-    def reduce(self, data: bytes) -> list[int]:
+    def reduce(self, data: bytes) -> tuple[int, ...]:
         if len(data) <= LEAF_BYTES:
             return self.window(data)
         half = len(data) // 2
         return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
 
-    def encode_match(self, data: bytes) -> list[int]:
+    def encode_match(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one match; a match that is itself a token is that token."""
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.reduce(data)
+        return (whole,) if whole is not None else self.reduce(data)
 
     # -- matches of a text --------------------------------------------------
     def matches(self, text: str) -> list[str]:
