@@ -197,7 +197,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
 
         def work(rows: list[np.ndarray]) -> pa.RecordBatch:
             d, s, a, b = rows
-            out = [[], [], []]
+            out = [[], [], [], [], []]
             if len(d):
                 new = np.ones(len(d), bool)
                 new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (np.diff(a - b) != 0) | (np.diff(a) > RUN_GAP)
@@ -213,8 +213,13 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
                         if sum(r[4] for r in found) > 1:
                             out[0].append(int(d[first[x]]))
                             out[1].append(int(s[first[x]]))
-                            out[2].append(np.array(found, np.int32).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "source_id", "runs"])
+                            # only words within reach of the chain are sent on
+                            lows = [max(0, found[0][z] - REACH) for z in (0, 2)]
+                            out[2].append((np.array(found, np.int32) - np.array([lows[0], lows[0], lows[1], lows[1], 0], np.int32)).tobytes())
+                            out[3].append((lows[0], found[-1][1] + k + REACH - lows[0]))
+                            out[4].append((lows[1], found[-1][3] + k + REACH - lows[1]))
+            ends = [pa.array([v[z] for v in out[c]], pa.int32()) for c in (3, 4) for z in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), *ends], names=["doc_id", "source_id", "runs", "low", "size", "source_low", "source_size"])
 
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -229,7 +234,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
         if held:
             yield work(held)
 
-    chained = settle(arrow_map(dealt, chain, "doc_id long, source_id long, runs binary"))
+    chained = settle(arrow_map(dealt, chain, "doc_id long, source_id long, runs binary, low int, size int, source_low int, source_size int"))
     ids = fit_to_send(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,12 +244,14 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "words"])
 
     words = settle(arrow_map(docs.join(ids, "doc_id", "left_semi"), pack, "doc_id long, words binary"))
-    both = chained.join(words, "doc_id").join(words.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words")), "source_id")
+    part = lambda low, size: F.col("words").substr(F.col(low) * 4 + 1, F.col(size) * 4)  # noqa: E731  four bytes a word
+    one = chained.join(words, "doc_id").withColumn("x", part("low", "size")).drop("words", "size")
+    both = one.join(words.withColumnRenamed("doc_id", "source_id"), "source_id").withColumn("y", part("source_low", "source_size"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple] = []
-            for d, s, packed, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source_id", "runs", "words", "source_words"))):
+            for d, s, packed, low, source_low, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 runs = [tuple(r) for r in np.frombuffer(packed, np.int32).reshape(-1, 5).tolist()]
                 u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 if runs[-1][1] + k > len(u) or runs[-1][3] + k > len(v):
@@ -252,12 +259,12 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
                 a0, a1, b0, b1, matched = align(u, v, runs, k)
                 alike = matched / max(a1 - a0, b1 - b0, 1)
                 if min(a1 - a0, b1 - b0) >= least_words and alike >= least_alike:
-                    out.append((d, a0, a1 - a0, s, b0, b1 - b0, alike))
+                    out.append((d, low + a0, a1 - a0, s, source_low + b0, b1 - b0, alike))
             columns = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "alike"])
 
-    found = arrow_map(both.select("doc_id", "source_id", "runs", "words", "source_words"), verify, "doc_id long, start_word int, n_words int, source_id long, source_start int, source_words int, alike double")
+    found = arrow_map(both.select("doc_id", "source_id", "runs", "low", "source_low", "x", "y"), verify, "doc_id long, start_word int, n_words int, source_id long, source_start int, source_words int, alike double")
     return found.distinct()
 
 
