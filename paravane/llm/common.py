@@ -102,22 +102,38 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iter
             yield batch.slice(start, n - start)
 
 
-#: Ids that are broadcast at most; a longer list is shuffled.
-BROADCAST_IDS = 500_000
+#: Rows and bytes that are broadcast at most; a longer or wider list is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
-def fit_to_send(ids: DataFrame) -> DataFrame:
-    """A settled frame, marked for broadcast if it was counted to be short enough."""
-    ids = settle(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def fit_to_send(rows: DataFrame) -> DataFrame:
+    """A settled frame, marked for broadcast if it was measured to be small enough.
+
+    Its rows are counted first; only a short frame's bytes are added up (as text, which is no
+    shorter than the rows themselves).
+    """
+    rows = settle(rows)
+    if rows.count() > BROADCAST_ROWS:
+        return rows
+    size = rows.agg(F.sum(F.length(F.to_json(F.struct(*rows.columns))))).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
 #: Labelled documents that a classifier may be fitted on at most: those whose hashed id is smallest.
 LABEL_ROWS = 6_000
 
 
+def bounded_sample(docs: DataFrame, rated: DataFrame, name: str, rows: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``rows`` ids: those of (doc_id, label) whose hash is smallest.
+
+    An id that occurs more than once counts once, with its least label and text, so that the bound
+    holds however often an id is repeated.
+    """
+    once = rated.filter(F.col("doc_id").isNotNull() & F.col(name).isNotNull()).groupBy("doc_id").agg(F.min(name).alias(name))
+    few = F.broadcast(once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))  # that many rows at most
+    return few.join(docs.select("doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(name).alias(name))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
-    """(doc_id, text, label) of at most LABEL_ROWS rows outside the held-out fold (crc32 of the id, modulo 4, is 2)."""
-    rated = labels.filter((fold("doc_id", 4) != 2) & F.col(column).isNotNull()).select("doc_id", F.col(column).alias(name))
-    few = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id", name).limit(LABEL_ROWS))  # LABEL_ROWS rows at most
-    return few.join(docs.select("doc_id", "text"), "doc_id")
+    """A bounded sample of (doc_id, text, label) outside the held-out fold (crc32 of the id, modulo 4, is 2)."""
+    return bounded_sample(docs, labels.filter(fold("doc_id", 4) != 2).select("doc_id", F.col(column).alias(name)), name, LABEL_ROWS)

@@ -59,7 +59,8 @@ HINTS = {
 }
 _HINT = {word: name for name, words in HINTS.items() for word in words}
 _TAG = {t: f"tag={t}" for t in TAGS}
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# possessive, so that no page takes more than one pass over a tag; a tag with a stray quote ends at its first '>'
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -99,16 +100,19 @@ def parse(page: str) -> list[Node]:
         links[0] = 0
 
     at, n = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends after it
     while at < n:
-        m = _PIECE.search(page, at)
+        m = _PIECE.search(page, at, last) if at < last else None
         if m is None:
-            held.append((page[at:], links[0] > 0))
+            held.append((page[at:].partition("<!--")[0], links[0] > 0))
             break
         if m.start() > at:
             held.append((page[at : m.start()], links[0] > 0))
         at = m.end()
         name = m[2]
         if not name:
+            if page.startswith("<!--", m.start()) and not page.startswith("-->", at - 3):
+                break  # an open comment hides the rest
             continue
         tag = name.lower()
         if m[1]:

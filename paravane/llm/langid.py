@@ -167,12 +167,12 @@ def sample(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    short = rows.filter(F.col("lang").isin(names)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    short = rows.filter(F.col("lang").isin(names)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
     chosen = short.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_DOCS).select("lang", "doc_id").collect()
     if not chosen:
         return ()
     ids = sorted({r["doc_id"] for r in chosen if r["doc_id"] is not None})
-    found = rows.filter(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DOC_CHARS).alias("text")).dropDuplicates(["lang", "doc_id"]).collect()
+    found = rows.filter(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DOC_CHARS).alias("text")).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).collect()
     out = {}
     for r in sorted(found, key=lambda r: (r["h"], r["doc_id"])):
         held = out.setdefault(r["lang"], [])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
+from paravane.llm.common import arrow_map, bounded_sample, keyed_text, text_of, text_slices
 
 #: Hashed features; labelled rows that are used at most; the largest number of grades.
 FEATURES, SAMPLE_ROWS, MAX_GRADES = 4096, 3_000, 32
@@ -99,9 +99,7 @@ class CumulativeLink:
 
 def train(labelled: DataFrame) -> CumulativeLink | None:
     """Fit on at most SAMPLE_ROWS of (doc_id, text, rating): those of smallest hash of the id."""
-    rated = labelled.filter("rating IS NOT NULL")
-    few = rated.select("doc_id", "rating").orderBy(F.xxhash64("doc_id"), "doc_id", "rating").limit(SAMPLE_ROWS)
-    rows = F.broadcast(few).join(labelled.select("doc_id", "text"), "doc_id").select("rating", "text")  # SAMPLE_ROWS rows at most
+    rows = bounded_sample(labelled, labelled.select("doc_id", "rating"), "rating", SAMPLE_ROWS).select("rating", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):

@@ -29,9 +29,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
+from paravane.llm.common import arrow_map, bounded_sample, keyed_text, text_of, text_slices
 
 #: Labelled documents that are used at most, lexicon entries kept, and documents an entry must mark.
 SAMPLE_ROWS, LEXICON, LEAST_DOCS = 6_000, 4_000, 5
@@ -181,8 +180,7 @@ def train(labelled: DataFrame) -> tuple[Grammar, list[float]]:
     the other way round, so the logistic model sees scores of texts that the
     lexicon has not seen; the final lexicon is learned from all of it.
     """
-    few = labelled.filter("toxic IS NOT NULL").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE_ROWS)
-    got = F.broadcast(few).join(labelled.select("doc_id", "text"), "doc_id").collect()  # SAMPLE_ROWS rows at most
+    got = bounded_sample(labelled, labelled.select("doc_id", "toxic"), "toxic", SAMPLE_ROWS).collect()
     rows = sorted({(r["doc_id"], r["text"] or "", int(r["toxic"] > 0)) for r in got})
     texts, labels = [r[1] for r in rows], [r[2] for r in rows]
     if len(set(labels)) < 2:

@@ -74,3 +74,10 @@ def test_frame(spark, model):
     body = "Head of it\n\nSome text here, long enough to be read."
     assert got == [(1, body), (1, body), (2, ""), (3, ""), (4, "")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_stray_quotes_and_many_open_tags():
+    text = lambda page: [x.text for x in H.parse(page) if x.tag == "#"]
+    assert text("<p class=it's>a</p><p>b</p>") == ["a", "b"] and text('<a href="x>y">z</a>') == ["z"]
+    page = "<a title=\"" * 20_000
+    assert len(H.parse(page)) <= 2
