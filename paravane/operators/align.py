@@ -25,21 +25,31 @@ def last_per_id(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
 
-def triples(predictions: DataFrame, keys: list[str], value: str = "correct", variants: tuple[str, ...] = VARIANTS) -> DataFrame:
-    """One row for each key, one column for each variant; keys that lack a variant are dropped.
+def wide(predictions: DataFrame, keys: list[str], value: str, variants: tuple[str, ...]) -> DataFrame:
+    """One row for each key and one column for each variant, null where there is none.
 
-    A single shuffle on the keys: the pivot aggregates with an explicit value list.
+    Conditional aggregates need one shuffle on the keys, with a partial aggregation before it; a
+    pivot would first shuffle on the keys with the variant.  Of several rows of a key and variant
+    the last one (by ``row_idx``, where there is such a column) counts.
     """
-    wide = predictions.groupBy(*keys).pivot("variant", list(variants)).agg(F.max_by(value, F.col("row_idx")) if "row_idx" in predictions.columns else F.any_value(value, ignoreNulls=True))
-    return wide.dropna(subset=list(variants))
+    if "row_idx" in predictions.columns:
+        columns = [F.max_by(value, F.when(F.col("variant") == v, F.col("row_idx"))).alias(v) for v in variants]
+    else:
+        columns = [F.any_value(F.when(F.col("variant") == v, F.col(value)), ignoreNulls=True).alias(v) for v in variants]
+    return predictions.groupBy(*keys).agg(*columns)
+
+
+def triples(predictions: DataFrame, keys: list[str], value: str = "correct", variants: tuple[str, ...] = VARIANTS) -> DataFrame:
+    """One row for each key, one column for each variant; keys that lack a variant are dropped."""
+    return wide(predictions, keys, value, variants).dropna(subset=list(variants))
 
 
 def require_triples(predictions: DataFrame, keys: list[str], value: str = "correct", variants: tuple[str, ...] = VARIANTS) -> DataFrame:
     """As ``triples``, but a key without all variants is an error instead of being dropped."""
-    wide = predictions.groupBy(*keys).pivot("variant", list(variants)).agg(F.any_value(value, ignoreNulls=True))
+    rows = wide(predictions, keys, value, variants)
     lacking = F.array_compact(F.array(*[F.when(F.col(v).isNull(), F.lit(v)) for v in variants]))
     guard = F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("missing variants "), F.array_join(lacking, ", "), F.lit(" for "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))).otherwise(F.lit(True))
-    return wide.filter(guard)
+    return rows.filter(guard)
 
 
 def with_labels(df: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:

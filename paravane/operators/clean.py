@@ -69,11 +69,13 @@ def clean(tasks: DataFrame, options: CleanOptions, order: str = "row_idx") -> Da
 def step_counts(tasks: DataFrame, options: CleanOptions) -> DataFrame:
     """One row: rows after every step, from a single pass and one aggregation.
 
-    Distinct (x, meta, y) keys are counted with the band as a condition, so no step is run twice.
+    Distinct (x, meta, y) keys are counted with the band as a condition, so no step is run twice;
+    they are shuffled as digests, not as texts.
     """
     df = tasks.withColumn("x", T.normalize(options.normalize, F.col("x")))
     inside = T.word_count(F.col("x")).between(options.min_words, options.max_words)
-    by_key = df.groupBy("x", "meta", "y").agg(F.count("*").alias("n"), F.count_if(inside).alias("kept"))
+    digest = F.sha2(F.to_json(F.struct("x", "meta", "y"), {"ignoreNullFields": "false"}), 256)
+    by_key = df.groupBy(digest.alias("key")).agg(F.count("*").alias("n"), F.count_if(inside).alias("kept"))
     once = F.count_if(F.col("kept") > 0) if options.dedupe else F.sum("kept")
     counts = by_key.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("raw_loaded"),
