@@ -168,8 +168,7 @@ def run_overlap(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def run_report(spark: SparkSession, a: argparse.Namespace) -> None:
     _, cells = load_cells(spark, a.results)
-    p = statistics.exact_table(cells, KEYS).select(*KEYS, F.col("idiom_p").alias("delta_idiom_p"))
-    table = metrics.accuracies(cells).join(p, KEYS).cache()
+    table = statistics.with_exact_p(metrics.accuracies(cells), delta_idiom_p="idiom").cache()
     rows = [r.asDict() for r in analyze.dataset_summary(table).orderBy("dataset").collect()]
     sinks.atomic_text(f"{a.out}/summary.tex", sinks.latex_summary(rows))
     deltas = {(r["dataset"], r["model_id"]): (r["delta_idiom"], r["delta_idiom_p"]) for r in table.collect()}

@@ -31,19 +31,28 @@ def unparseable_ids(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return predictions.filter(F.col("parse_status") == "unparseable").select(*keys, "variant", "id")
 
 
-def cells(triples: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of the 8 joint outcomes as columns, with n: the sufficient statistic of every paired figure."""
+def cells(triples: DataFrame, keys: list[str], total: str | None = None, where: Column | None = None) -> DataFrame:
+    """Counts of the 8 joint outcomes as columns, with n: the sufficient statistic of every paired figure.
+
+    With ``where`` only those triples count (the others' outcomes must be null), and ``total`` names
+    a column that counts all.
+    """
     o, p, i = F.col("original"), F.col("paraphrase"), F.col("idiomatic")
     counts = [F.count_if((o if c[0] == "T" else ~o) & (p if c[1] == "T" else ~p) & (i if c[2] == "T" else ~i)).alias(c) for c in CELLS]
-    return triples.groupBy(*keys).agg(F.count("*").alias("n"), *counts)
+    n = F.count("*") if where is None else F.count_if(where)
+    return triples.groupBy(*keys).agg(n.alias("n"), *([F.count("*").alias(total)] if total else []), *counts)
 
 
 def pooled(cells_: DataFrame, keys: list[str], over: str) -> DataFrame:
-    """Per-key cells and, for each key without ``over``, their total ('pooled')."""
+    """Per-key cells and, for each key without ``over``, their total ('pooled'), if there are two or more.
+
+    Grouping sets: the cells are computed once and summed at both levels in one shuffle.
+    """
     rest = [k for k in keys if k != over]
-    total = cells_.groupBy(*rest).agg(F.count("*").alias("__models"), *[F.sum(c).alias(c) for c in ("n", *CELLS)])
-    total = total.filter("__models > 1").withColumn(over, F.lit("pooled")).select(*keys, "n", *CELLS)
-    return cells_.select(*keys, "n", *CELLS).union(total)
+    sums = [F.sum(c).alias(c) for c in ("n", *CELLS)]
+    both = cells_.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in rest]], *keys).agg(F.grouping(over).alias("__total"), F.count("*").alias("__rows"), *sums)
+    kept = both.filter("__total = 0 OR __rows > 1").withColumn(over, F.when(F.col("__total") == 1, "pooled").otherwise(F.col(over)))
+    return kept.select(*keys, "n", *CELLS)
 
 
 def confusion(cells_: DataFrame, keys: list[str]) -> DataFrame:

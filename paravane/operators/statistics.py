@@ -41,11 +41,15 @@ def mcnemar_table(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.select(*keys, "n", b.alias("b"), c.alias("c"), F.col("FTT").alias("original_only"), corrected_chi2(b, c).alias("chi2"), chi2_p(b, c).alias("p_value"))
 
 
+def with_exact_p(cells: DataFrame, **columns: str) -> DataFrame:
+    """Adds exact p-values as expressions over the cells: ``with_exact_p(cells, naive_p="naive")``."""
+    return cells.withColumns({name: exact_p(*discordant(contrast)) for name, contrast in columns.items()})
+
+
 def exact_table(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Exact p-values of the three contrasts."""
-    out = cells.select(*keys, "n", *[f"`{c}`" for c in cells.columns if len(c) == 3 and set(c) <= set("TF")])
-    ps = [exact_p(*discordant(name)).alias(f"{name}_p") for name in ("paraphrase", "idiom", "naive")]
-    return out.select(*keys, "n", *ps)
+    names = {f"{c}_p": c for c in ("paraphrase", "idiom", "naive")}
+    return with_exact_p(cells, **names).select(*keys, "n", *names)
 
 
 def average_rank(column: str, partition: list[str]) -> Column:

@@ -13,6 +13,8 @@ from paravane.operators import align, bootstrap, metrics, statistics
 
 KEYS = ["dataset", "model_id"]
 ESTIMATE = ["{0}", "{0}_ci_low", "{0}_ci_high", "{0}_p"]
+DELTAS = [c.format(d) for d in ("delta_paraphrase", "delta_idiom") for c in ESTIMATE]
+SUMMARY = [*KEYS, "model_revision", "config_hash", "prompt_hash", "n", "acc_original", "acc_paraphrase", "acc_idiomatic", *DELTAS]
 
 
 def joint_cells(predictions: DataFrame, strict: bool = False) -> DataFrame:
@@ -23,27 +25,24 @@ def joint_cells(predictions: DataFrame, strict: bool = False) -> DataFrame:
 
 def estimates(cells: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Points, intervals and exact p-values of each run: the cross-model table without run metadata."""
-    p = statistics.exact_table(cells, KEYS)
-    intervals = bootstrap.paired_table(cells, KEYS, resamples, level, seed)
-    return intervals.join(p.select(*KEYS, F.col("paraphrase_p").alias("delta_paraphrase_p"), F.col("idiom_p").alias("delta_idiom_p")), KEYS)
+    tested = statistics.with_exact_p(cells, delta_paraphrase_p="paraphrase", delta_idiom_p="idiom")
+    return bootstrap.paired_table(tested, [*KEYS, "delta_paraphrase_p", "delta_idiom_p"], resamples, level, seed)
 
 
 def summary(estimates_: DataFrame, runs: DataFrame) -> DataFrame:
     """The 17-column summary: run metadata, accuracies, deltas with intervals and p-values."""
-    deltas = [c.format(d) for d in ("delta_paraphrase", "delta_idiom") for c in ESTIMATE]
-    return runs.join(estimates_, KEYS).select(*KEYS, "model_revision", "config_hash", "prompt_hash", "n", "acc_original", "acc_paraphrase", "acc_idiomatic", *deltas)
+    return runs.join(estimates_, KEYS).select(*SUMMARY)
 
 
 def cross_model(estimates_: DataFrame, runs: DataFrame) -> DataFrame:
     """The 23-column table: the summary with intervals of the accuracies, in plotting order."""
     more = [f"acc_{v}_ci_{end}" for v in ("original", "paraphrase", "idiomatic") for end in ("low", "high")]
-    wide = summary(estimates_, runs).join(estimates_.select(*KEYS, *more), KEYS)
-    return wide.orderBy("dataset", "acc_original", "model_id")
+    return runs.join(estimates_, KEYS).select(*SUMMARY, *more).orderBy("dataset", "acc_original", "model_id")
 
 
 def cross_dataset(summary_: DataFrame) -> DataFrame:
     """Deltas only: 10 columns."""
-    return summary_.select(*KEYS, *[c.format(d) for d in ("delta_paraphrase", "delta_idiom") for c in ESTIMATE])
+    return summary_.select(*KEYS, *DELTAS)
 
 
 def significant(table: DataFrame) -> DataFrame:
@@ -65,7 +64,7 @@ def dataset_summary(table: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def naive_contrast(cells: DataFrame, alpha: float = 0.05) -> DataFrame:
     """The contrast a study without the control would report, with its decomposition, by dataset."""
-    each = metrics.accuracies(cells).join(statistics.exact_table(cells, KEYS).select(*KEYS, "naive_p"), KEYS)
+    each = statistics.with_exact_p(metrics.accuracies(cells), naive_p="naive")
     hit = F.col("naive_p") < alpha
     return each.groupBy("dataset").agg(
         F.count("*").alias("models"),
@@ -81,10 +80,12 @@ def naive_contrast(cells: DataFrame, alpha: float = 0.05) -> DataFrame:
 def parse_clean_table(predictions: DataFrame) -> DataFrame:
     """Share dropped, idiom delta and exact p over triples whose outputs were all parsed; null delta if none is left."""
     wide = metrics.parse_clean(predictions, [*KEYS, "id"])
-    dropped = wide.groupBy(*KEYS).agg(F.avg((~F.col("clean")).cast("int")).alias("dropped"))
-    kept = metrics.cells(wide.filter("clean"), KEYS)
-    figures = metrics.accuracies(kept).select(*KEYS, F.col("delta_idiom").alias("d_clean")).join(statistics.exact_table(kept, KEYS).select(*KEYS, F.col("idiom_p").alias("p_clean")), KEYS)
-    return dropped.join(figures, KEYS, "left")
+    # one pass: the cells count clean triples only, `total` counts all
+    kept = wide.select(*KEYS, "clean", *[F.when(F.col("clean"), F.col(v)).alias(v) for v in ("original", "paraphrase", "idiomatic")])
+    counted = metrics.cells(kept, KEYS, total="total", where=F.col("clean"))
+    figures = statistics.with_exact_p(metrics.accuracies(counted), p_clean="idiom")
+    some = lambda c: F.when(F.col("n") > 0, F.col(c))
+    return figures.select(*KEYS, ((F.col("total") - F.col("n")) / F.col("total")).alias("dropped"), some("delta_idiom").alias("d_clean"), some("p_clean").alias("p_clean"))
 
 
 def scale_trend(table: DataFrame, sizes: DataFrame) -> DataFrame:
