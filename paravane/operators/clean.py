@@ -41,9 +41,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return packed.select(*keys, "__row.*").select(*df.columns)
 
 
-def in_band(df: DataFrame, least: int, most: int, text: str = "x") -> DataFrame:
-    """Rows whose word count lies within the inclusive band."""
-    return df.filter(T.word_count(F.col(text)).between(least, most))
+def in_band(least: int, most: int, text: str = "x") -> Column:
+    """Whether a text's word count lies within the inclusive band.
+
+    No normalizer changes the number of words, so this can be asked of the raw text: a built-in
+    expression that is filtered on before any Python runs.
+    """
+    return T.word_count(T.collapse_whitespace(F.col(text))).between(least, most)
 
 
 def seeded_key(seed: int, *columns: str) -> Column:
@@ -58,9 +62,8 @@ def seeded_order(df: DataFrame, seed: int, columns: list[str], cap: int | None =
 
 
 def clean(tasks: DataFrame, options: CleanOptions, order: str = "row_idx") -> DataFrame:
-    """normalise -> length band -> keep-first dedupe on (x, meta, y) -> seeded order -> cap, as one plan."""
-    df = tasks.withColumn("x", T.normalize(options.normalize, F.col("x")))
-    df = in_band(df, options.min_words, options.max_words)
+    """length band and normalisation -> keep-first dedupe on (x, meta, y) -> seeded order -> cap, as one plan."""
+    df = tasks.filter(in_band(options.min_words, options.max_words)).withColumn("x", T.normalize(options.normalize, F.col("x")))
     if options.dedupe:
         df = keep_first(df, ["x", "meta", "y"], [order])
     return seeded_order(df, options.seed, ["id", order], options.max_rows)
@@ -72,10 +75,9 @@ def step_counts(tasks: DataFrame, options: CleanOptions) -> DataFrame:
     Distinct (x, meta, y) keys are counted with the band as a condition, so no step is run twice;
     they are shuffled as digests, not as texts.
     """
-    df = tasks.withColumn("x", T.normalize(options.normalize, F.col("x")))
-    inside = T.word_count(F.col("x")).between(options.min_words, options.max_words)
+    df = tasks.withColumn("inside", in_band(options.min_words, options.max_words)).withColumn("x", T.normalize(options.normalize, F.col("x")))
     digest = F.sha2(F.to_json(F.struct("x", "meta", "y"), {"ignoreNullFields": "false"}), 256)
-    by_key = df.groupBy(digest.alias("key")).agg(F.count("*").alias("n"), F.count_if(inside).alias("kept"))
+    by_key = df.groupBy(digest.alias("key")).agg(F.count("*").alias("n"), F.count_if("inside").alias("kept"))
     once = F.count_if(F.col("kept") > 0) if options.dedupe else F.sum("kept")
     counts = by_key.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("raw_loaded"),

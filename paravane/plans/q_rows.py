@@ -39,8 +39,8 @@ WORDS_SQL = f"SELECT doc_id, source, CASE WHEN x = '' THEN 0 ELSE len(string_spl
 
 @query(f"SELECT doc_id, CAST(n_words AS INTEGER) AS n_words FROM ({WORDS_SQL}) WHERE n_words BETWEEN 10 AND 100")
 def p4_length_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.collapse_whitespace(F.col("text")).alias("x"))
-    return clean.in_band(docs, 10, 100).select("doc_id", T.word_count(F.col("x")).alias("n_words"))
+    docs = table(spark, sf_dir, "documents").filter(clean.in_band(10, 100, "text"))
+    return docs.select("doc_id", T.word_count(T.collapse_whitespace(F.col("text"))).alias("n_words"))
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS text_hash, substr(sha256(source || chr(30) || text), 1, 16) AS prompt_hash FROM documents")
