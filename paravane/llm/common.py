@@ -36,6 +36,22 @@ def text_of(batch: pa.RecordBatch) -> pa.Array:
     return pc.struct_field(key, key.type.get_field_index("text"))
 
 
+def without_repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop rows of equal id and text but the first that this task sees.
+
+    For operators that count rows of equal id as one document: however often a row is repeated, each
+    task passes it on once.
+    """
+    seen: set[tuple] = set()
+    for batch in batches:
+        keep = []
+        for i, row in enumerate(zip(batch.column("doc_id").to_pylist(), map(hash, text_of(batch).to_pylist()))):
+            if row not in seen:
+                seen.add(row)
+                keep.append(i)
+        yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
 def release() -> None:
     """Give freed memory back to the system: workers live on and share a small budget."""
     gc.collect()

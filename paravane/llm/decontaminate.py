@@ -120,7 +120,7 @@ def find(df: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id
         return df.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, start_word int, n_words int, similarity double")
     windows = settle(placed.distinct())
 
-    held = docs.join(fit_to_send(windows.select("doc_id").distinct()), "doc_id").select("doc_id", words_of(F.col("text")).alias("words"))
+    held = docs.join(fit_to_send(windows.select("doc_id").distinct()), "doc_id").distinct().select("doc_id", words_of(F.col("text")).alias("words"))
     cut = windows.join(held, "doc_id").select("doc_id", "item_id", "start_word", F.slice("words", F.col("start_word") + 1, F.col("m")).alias("window")).distinct()
     marked = settle(cut.withColumn("shingles", weighted(F.col("window"), k)).withColumn("fingerprint", simhash(F.col("shingles"))).drop("window"))
     known = fit_to_send(items.withColumn("item_shingles", weighted(F.col("item_words"), k)).withColumn("item_fingerprint", simhash(F.col("item_shingles"))).select("item_id", "m", "item_shingles", "item_fingerprint"))

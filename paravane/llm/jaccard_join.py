@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices
+from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices, without_repeats
 from paravane.llm.components import connected
 from paravane.llm.words import mix, shingle_sets
 
@@ -182,7 +182,7 @@ def forests(rows: DataFrame, key: str, num: int, den: int, exact: bool) -> DataF
         .select(key, F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), F.expr("cast(own > other as tinyint)").alias("side"), "rep", "n", "payload")
     )
     keys = [key, "ti", "tj"]
-    dealt = spread.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = spread.repartition(*keys).sortWithinPartitions(*keys, "rep", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -204,7 +204,8 @@ def forests(rows: DataFrame, key: str, num: int, den: int, exact: bool) -> DataF
                 if (g, ti, tj) != now:
                     flush()
                     now, held = (g, ti, tj), []
-                held.append((rep, n, payload, side))
+                if not held or held[-1][:3] != (rep, n, payload):  # tasks may have passed on one row each
+                    held.append((rep, n, payload, side))
             if len(out) > 200_000:
                 yield batch_of(out)
                 out.clear()
@@ -222,7 +223,7 @@ def full_rows(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
     wanted = docs.join(fit_to_send(clusters), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(without_repeats(batches)):
             sets = [grams for grams, _ in shingle_sets([t or "" for t in part.column("text").to_pylist()], k)]
             yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("tiles"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "tiles", "rep", "n", "payload"])
 

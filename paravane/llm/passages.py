@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices
+from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices, without_repeats
 from paravane.llm.words import shingle_hashes, word_hashes
 
 #: Words of a seed, and the consecutive seeds of which the smallest is taken.
@@ -180,7 +180,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
     docs = keyed_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(without_repeats(batches)):
             text, place, h = seeds(part.column("text").to_pylist())
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text], pa.int64()), pa.array(place, pa.int32())], names=["h", "doc_id", "at"])
@@ -196,7 +196,11 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
         held: list[np.ndarray] = []
 
         def work(rows: list[np.ndarray]) -> pa.RecordBatch:
-            d, s, a, b = rows
+            once = np.ones(len(rows[0]), bool)  # tasks may have passed on rows of one id more than once
+            for column in rows:
+                once[1:] &= column[1:] == column[:-1]
+            once[1:] = ~once[1:]
+            d, s, a, b = (column[once] for column in rows)
             out = [[], [], [], [], []]
             if len(d):
                 new = np.ones(len(d), bool)
@@ -238,7 +242,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
     ids = fit_to_send(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(without_repeats(batches)):
             words, at, _ = word_hashes(part.column("text").to_pylist())
             short = (words >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "words"])

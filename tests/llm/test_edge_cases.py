@@ -105,3 +105,15 @@ def test_stages(spark, docs, sf_dir, k):
 def test_queries_on_null_ids(spark, sf_dir):
     got = Q.op9_toxicity(spark, sf_dir).collect()
     assert sum(r["doc_id"] is None for r in got) == 2 and all(r["held_out"] is not None for r in got)
+
+
+def test_an_id_that_holds_most_rows(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    hot, other = text(120), text(60)
+    rows = [(5, hot)] * 3000 + [(6, hot + " " + other), (7, other + " " + text(70)), (8, text(90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted({(r["doc_id"], r["source_id"], r["n_words"]) for r in passages.find(df).collect()}) == [(6, 5, 120), (7, 6, 60)]
+    near = spark.createDataFrame([(5, hot)] * 3000 + [(6, hot + " tail"), (8, text(90))], "doc_id long, text string").repartition(7)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.components(near).collect()}
+    assert got == {(5, 5), (6, 5), (8, 8)}
