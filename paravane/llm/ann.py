@@ -153,10 +153,10 @@ class Index:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v array<double>): rows with an id and a vector that is finite, not zero and has no null."""
+    """(vec_id, v array<double>): distinct rows with an id and a vector that is finite, not zero and has no null."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = "vec_id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
-    return rows.filter(F.expr(f"coalesce({sound}, false)"))
+    return rows.filter(F.expr(f"coalesce({sound}, false)")).distinct()
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def search(df: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id",
     Vectors that are null, empty, zero or hold a null or non-finite component
     take no part, nor do those whose length is not the most frequent one (the
     smaller on ties), nor rows without an id.  Rows equal in id and vector count
-    once.  Other columns are ignored; an
+    once; a query id with several vectors asks with the least of them.  Other columns are ignored; an
     empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -186,7 +186,7 @@ def search(df: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id",
     index = Index(matrix(sample.column("v").combine_chunks(), d), total, top)
 
     first = Window.partitionBy("v").orderBy("vec_id")
-    stored = rows.withColumn("k", F.dense_rank().over(first)).filter(F.col("k") <= top + 1).drop("k")
+    stored = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= top + 1).drop("k")
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +209,8 @@ def search(df: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id",
     shard = index.shards()
     loads = np.bincount(shard, index.sizes).astype(int)
     place = spark.createDataFrame([(c, int(s)) for c, s in enumerate(shard)], "cell int, shard int")  # MAX_CELLS rows at most
-    visits = asked.select("query_id", F.explode("cells").alias("cell")).join(F.broadcast(place.toDF("cell", "shard")), "cell").groupBy("query_id", "shard").agg(F.collect_list("cell").alias("cells"))
-    visits = settle(visits.join(asked.select("query_id", "v").dropDuplicates(["query_id"]), "query_id"))
+    visits = asked.select("query_id", F.explode("cells").alias("cell")).join(F.broadcast(place.toDF("cell", "shard")), "cell").groupBy("query_id", "shard").agg(F.collect_set("cell").alias("cells"))
+    visits = settle(visits.join(asked.groupBy("query_id").agg(F.min("v").alias("v")), "query_id"))
     asks = {r["shard"]: r["n"] for r in visits.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     deal = spark.createDataFrame([(s, -(-int(loads[s]) // BLOCK), -(-n // BLOCK)) for s, n in asks.items()] or [(-1, 1, 1)], "shard int, vb int, qb int")
     own = "int(pmod(xxhash64({0}), {1}))"
@@ -221,7 +221,6 @@ def search(df: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id",
     def block(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
         if len(one) and len(two):
-            one = one[~pd.DataFrame({"i": one["vec_id"], "v": one["v"].map(lambda v: v.tobytes())}).duplicated().to_numpy()]
             x, codes = np.stack(one["v"].to_numpy()), np.frombuffer(b"".join(one["code"]), np.uint8).reshape(len(one), -1)
             ids, cell = one["vec_id"].to_numpy(), one["cell"].to_numpy()
             for a in range(0, len(two), 256):
