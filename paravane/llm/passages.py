@@ -10,9 +10,10 @@
    runs on one diagonal, and runs are chained in order of both texts.  A chain
    earns GAIN a seed and pays for the words skipped on either side; the best
    predecessor comes from a Fenwick tree over places in the earlier text.
-4. Alignment: chains are extended word by word at both ends, gaps between
-   their runs are aligned by dynamic programming, and what is long and alike
-   enough is a passage.
+4. Alignment: chains are extended word by word at both ends, and gaps between
+   their runs are aligned by dynamic programming.  A chain that is alike enough
+   is a passage; another is cut at its unalike gaps, and each longest part that
+   is long and alike enough is one.
 """
 
 from __future__ import annotations
@@ -113,15 +114,31 @@ def chains(runs: list[tuple[int, int, int, int, int]]) -> list[list[tuple[int, i
     return out
 
 
-def common_words(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the longest common subsequence, row by row."""
-    if not len(x) or not len(y):
-        return 0
-    row = np.zeros(len(y) + 1, np.int64)
-    for a in x:
-        grown = np.maximum(row[1:], row[:-1] + (y == a))
-        row[1:] = np.maximum.accumulate(grown)
-    return int(row[-1])
+def common_words(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of x and y; equal words at both ends are matched first."""
+    n = min(len(x), len(y))
+    unlike = np.flatnonzero(x[:n] != y[:n])
+    head = int(unlike[0]) if len(unlike) else n
+    n -= head
+    unlike = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
+    tail = int(unlike[0]) if len(unlike) else n
+    u, v = x[head : len(x) - tail], y[head : len(y) - tail]
+    inner = []
+    if len(u) and len(v):
+        table = np.zeros((len(u) + 1, len(v) + 1), np.int64)
+        for i, a in enumerate(u):
+            table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (v == a)))
+        i, j = len(u), len(v)
+        while table[i, j]:
+            if table[i - 1, j] == table[i, j]:
+                i -= 1
+            elif table[i, j - 1] == table[i, j]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                inner.append((head + i, head + j))
+    ends = [(len(x) - t, len(y) - t) for t in range(tail, 0, -1)]
+    return [(i, i) for i in range(head)] + inner[::-1] + ends
 
 
 def extend(same: np.ndarray) -> int:
@@ -138,29 +155,92 @@ def extend(same: np.ndarray) -> int:
     return int(score.argmax()) + 1
 
 
-def align(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int, int, int]], k: int) -> tuple[int, int, int, int, int]:
-    """(start, end) in x and in y, and words that match, of a chain over word arrays x and y."""
+def fill(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of equal words in the gap between two runs; a wide gap is first narrowed from both ends."""
+    if max(len(x), len(y)) <= ALIGN:
+        return common_words(x, y)
+    n = min(len(x), len(y))
+    left = extend(x[:n] == y[:n])
+    right = extend((x[len(x) - n + left :] == y[len(y) - n + left :])[::-1])
+    u, v = x[left : len(x) - right], y[left : len(y) - right]
+    inner = common_words(u, v) if max(len(u), len(v)) <= ALIGN else []
+    head = [(i, i) for i in np.flatnonzero(x[:left] == y[:left]).tolist()]
+    tail = [(len(x) - right + i, len(y) - right + i) for i in np.flatnonzero(x[len(x) - right :] == y[len(y) - right :]).tolist()]
+    return head + [(left + i, left + j) for i, j in inner] + tail
+
+
+def align(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int, int, int]], k: int) -> np.ndarray:
+    """Places in x and y of the words that match, in order, of a chain over word arrays x and y."""
     a, b = runs[0][0], runs[0][2]
     back = min(a, b, REACH)
     left = extend(x[a - back : a][::-1] == y[b - back : b][::-1])
-    start_x, start_y = a - left, b - left
-    at_x, at_y = start_x, start_y
-    matched = 0
-    for a0, a1, b0, b1, _ in runs:
-        if a0 > at_x and b0 > at_y and (at_x, at_y) != (start_x, start_y):
-            gap_x, gap_y = x[at_x:a0], y[at_y:b0]
-            matched += common_words(gap_x, gap_y) if max(len(gap_x), len(gap_y)) <= ALIGN else 0
-        end = a1 + k
-        begin = max(at_x, a0, a0 + (at_y - b0)) if (at_x, at_y) != (start_x, start_y) else at_x
+    at_x, at_y = a - left, b - left
+    out = []
+
+    def diagonal(begin: int, end: int, shift: int) -> None:
+        same = begin + np.flatnonzero(x[begin:end] == y[begin + shift : end + shift])
+        out.append(np.stack([same, same + shift], 1))
+
+    for z, (a0, a1, b0, b1, _) in enumerate(runs):
+        if z and a0 > at_x and b0 > at_y:
+            found = fill(x[at_x:a0], y[at_y:b0])
+            out.append(np.array(found, np.int64).reshape(-1, 2) + np.array([at_x, at_y]))
         shift = b0 - a0
+        begin = max(at_x, a0, a0 + (at_y - b0)) if z else at_x
+        end = min(a1 + k, len(x), len(y) - shift)
         begin = min(begin, end)
-        end = min(end, len(x), len(y) - shift)
-        matched += int((x[begin:end] == y[begin + shift : end + shift]).sum())
+        diagonal(begin, end, shift)
         at_x, at_y = max(at_x, end), max(at_y, end + shift)
     on = min(len(x) - at_x, len(y) - at_y, REACH)
-    same = x[at_x : at_x + on] == y[at_y : at_y + on]
-    right = extend(same)
-    return start_x, at_x + right, start_y, at_y + right, matched + int(same[:right].sum())
+    right = extend(x[at_x : at_x + on] == y[at_y : at_y + on])
+    diagonal(at_x, at_x + right, at_y - at_x)
+    return np.concatenate(out)
+
+
+def split(pairs: np.ndarray, least_words: int, least_alike: float) -> list[tuple[int, int, int, int, float]]:
+    """Passages (start and end in x, start and end in y, alike) of an alignment.
+
+    The whole alignment, if it is alike enough; else its longest part that is,
+    and then what is left on both sides of that part in the same way.  A part
+    begins and ends with equal words such that no piece at either end scores 0
+    or less at +1 an equal word and -2 another, as in ``extend``.
+    """
+    if len(pairs) < least_words * least_alike:
+        return []
+    step = np.diff(pairs, axis=0)
+    first = np.concatenate([[0], np.flatnonzero((step != 1).any(axis=1)) + 1])
+    last = np.append(first[1:], len(pairs))  # blocks of equal words, as places in pairs
+    unlike = np.maximum(0, step[first[1:] - 1].max(axis=1) - 1)
+    begin = first - 2 * np.concatenate([[0], np.cumsum(unlike)])  # score where a block begins
+    done = begin + last - first
+    low, high = pairs[first], pairs[last - 1] + 1
+
+    def alike(i: int, j: int | np.ndarray) -> np.ndarray:
+        return (last[j] - first[i]) / (high[j] - low[i]).max(axis=-1)
+
+    def best(lo: int, hi: int) -> tuple[int, int, int] | None:
+        found = None
+        for i in range(lo, hi):
+            if found and last[hi - 1] - first[i] <= found[0]:
+                break
+            fallen = np.flatnonzero(begin[i + 1 : hi] <= begin[i])
+            j = np.arange(i, i + 1 + fallen[0] if len(fallen) else hi)
+            peak = np.concatenate([[np.iinfo(np.int64).min], np.maximum.accumulate(done[j])[:-1]])
+            good = j[(done[j] > peak) & ((high[j] - low[i]).min(axis=1) >= least_words) & (alike(i, j) >= least_alike)]
+            if len(good) and (not found or last[good[-1]] - first[i] > found[0]):
+                found = int(last[good[-1]] - first[i]), i, int(good[-1])
+        return found
+
+    out, todo = [], [(0, len(first))]
+    if (high[-1] - low[0]).min() >= least_words and alike(0, len(first) - 1) >= least_alike:
+        out, todo = [(0, len(first) - 1)], []
+    while todo:
+        lo, hi = todo.pop()
+        if lo < hi and last[hi - 1] - first[lo] >= least_words * least_alike and (found := best(lo, hi)):
+            _, i, j = found
+            out.append((i, j))
+            todo += [(lo, i), (j + 1, hi)]
+    return [(int(low[i, 0]), int(high[j, 0]), int(low[i, 1]), int(high[j, 1]), float(alike(i, j))) for i, j in sorted(out)]
 
 
 def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,9 +340,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
                 u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 if runs[-1][1] + k > len(u) or runs[-1][3] + k > len(v):
                     continue  # another row of the same id
-                a0, a1, b0, b1, matched = align(u, v, runs, k)
-                alike = matched / max(a1 - a0, b1 - b0, 1)
-                if min(a1 - a0, b1 - b0) >= least_words and alike >= least_alike:
+                for a0, a1, b0, b1, alike in split(align(u, v, runs, k), least_words, least_alike):
                     out.append((d, low + a0, a1 - a0, s, source_low + b0, b1 - b0, alike))
             columns = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]

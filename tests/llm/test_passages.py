@@ -94,3 +94,39 @@ def test_chains_against_all_predecessors():
         got = S.chains(runs)
         assert sorted(r for c in got for r in c) == runs
         assert abs(max(map(worth, got)) - max(best.values())) < 1e-9
+
+
+def test_repeats_around_new_words(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    header, footer, tail = text(55), text(55), text(60)
+    rows = [(gap, " ".join(header + text(gap) + footer + text(200) + tail)) for gap in (50, 30, 120)]
+    got = S.find(spark.createDataFrame([(10 + n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    for n, (gap, _) in enumerate(rows):
+        spans = [(r["start_word"], r["n_words"]) for r in got if r["doc_id"] == 10 + n]
+        assert len(spans) == (3 if n else 0)
+        for at, size in ((0, 55), (55 + gap, 55), (310 + gap, 60)):
+            assert not n or any(abs(s - at) <= 3 and abs(s + m - at - size) <= 3 for s, m in spans)
+
+
+def test_split_against_all_parts():
+    rng = random.Random(6)
+    for _ in range(150):
+        x, y, at_x, at_y, pairs = [], [], 0, 0, []
+        for _ in range(rng.randrange(2, 12)):
+            for _ in range(rng.choice([3, 10, 25, 55])):
+                pairs.append((at_x, at_y))
+                at_x, at_y = at_x + 1, at_y + 1
+            at_x, at_y = at_x + rng.choice([1, 1, 3, 15, 40]), at_y + rng.choice([1, 1, 3, 15, 40])
+        got = S.split(S.np.array(pairs), 50, 0.8)
+        for a0, a1, b0, b1, alike in got:
+            inside = [p for p in pairs if a0 <= p[0] < a1]
+            assert min(a1 - a0, b1 - b0) >= 50 and alike == len(inside) / max(a1 - a0, b1 - b0) >= 0.8
+            assert inside == [p for p in pairs if b0 <= p[1] < b1]
+        covered = {p for a0, a1, *_ in got for p in pairs if a0 <= p[0] < a1}
+        run = []  # every exact repeat of 50 words is covered
+        for p in pairs + [(-9, -9)]:
+            if run and (p[0] - run[-1][0], p[1] - run[-1][1]) != (1, 1):
+                assert len(run) < 50 or covered >= set(run)
+                run = []
+            run.append(p)
