@@ -122,7 +122,7 @@ def p14_sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT doc_id, regexp_extract(s, '(?:^|[^\p{L}\p{N}_])([A-D])(?:$|[^\p{L}\p{N}_])', 1) AS letter FROM a)
 SELECT doc_id, CASE WHEN letter <> '' THEN CAST(ascii(letter) - 65 AS VARCHAR) END AS parsed FROM m""")
 def p16_choice_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", parsers.parse_choice(F.substring("text", 1, 200)).alias("parsed"))
+    return table(spark, sf_dir, "documents").select("doc_id", parsers.parse_choice(F.col("text")).alias("parsed"))
 
 
 @query("""WITH a AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Neutral, no entailment' WHEN 1 THEN 'CONTRADICTION' WHEN 2 THEN '<think>neutral</think>entailment' WHEN 3 THEN text ELSE '' END AS raw FROM documents),
