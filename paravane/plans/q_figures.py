@@ -145,13 +145,13 @@ def runs(spark: SparkSession) -> DataFrame:
 @query()
 def a15_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """17 columns; the intervals are Monte Carlo, so pytest checks them."""
-    found = analyze.estimates(cells_of(spark, sf_dir), resamples=2000)
+    found = analyze.estimates(cells_of(spark, sf_dir))
     return analyze.summary(found, runs(spark))
 
 
 @query()
 def a16_cross_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analyze.estimates(cells_of(spark, sf_dir), resamples=2000)
+    found = analyze.estimates(cells_of(spark, sf_dir))
     return analyze.cross_model(found, runs(spark))
 
 
@@ -170,7 +170,7 @@ def a18_mean_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a19_test_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cells_of(spark, sf_dir)
-    return analyze.test_agreement(statistics.mcnemar_table(cells, KEYS), bootstrap.difference_table(cells, KEYS, 2000))
+    return analyze.test_agreement(statistics.mcnemar_table(cells, KEYS), bootstrap.difference_table(cells, KEYS))
 
 
 @query(f"WITH {ACCURACY_SQL} SELECT round(min(least(ao, ap, ai)), 9) AS low, round(max(greatest(ao, ap, ai)), 9) AS high, max_by(model_id, ao * 1000 + CAST(substr(model_id, 7) AS INT)) AS best FROM acc")
