@@ -5,7 +5,9 @@
    a row share a seed.
 2. Join: every occurrence of a seed is matched with the seed's first
    occurrence (least document, then place), so a seed that occurs n times
-   gives n - 1 matches, not n * n.
+   gives n - 1 matches, not n * n.  Runs of CONTEXTS words are matched in the
+   same way, so that a passage meets its first copy where its seeds are common:
+   every run of least_words equal words meets its first occurrence.
 3. Chaining: the matches of a document with an earlier one are merged into
    runs on one diagonal, and runs are chained in order of both texts.  A chain
    earns GAIN a seed and pays for the words skipped on either side; the best
@@ -31,6 +33,8 @@ from paravane.llm.words import shingle_hashes, word_hashes
 
 #: Words of a seed, and the consecutive seeds of which the smallest is taken.
 SEED_WORDS, WINDOW = 5, 16
+#: The same of the longer runs that are matched as well: all of 50 words, some of 20.
+CONTEXTS = ((20, 8), (50, 1))
 #: What a seed earns; what a skipped word costs on either side; the widest gap inside a run.
 GAIN, GAP_COST, RUN_GAP = 16.0, 0.25, 32
 #: Words beyond a chain's ends that extension may use; the fall in score that ends it; the widest gap that is aligned.
@@ -261,9 +265,11 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(without_repeats(batches)):
-            text, place, h = seeds(part.column("text").to_pylist())
+            texts = part.column("text").to_pylist()
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text], pa.int64()), pa.array(place, pa.int32())], names=["h", "doc_id", "at"])
+            for words, window in ((k, WINDOW), *((max(k, min(n, least_words)), w) for n, w in CONTEXTS)):
+                text, place, h = seeds(texts, words, window)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text], pa.int64()), pa.array(place, pa.int32())], names=["h", "doc_id", "at"])
 
     sown = arrow_map(docs, sow, "h long, doc_id long, at int")
     # written out, so that both sides of the join are shuffled for it alone and a hot seed can be split
@@ -293,15 +299,14 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
                 cut = np.append(np.flatnonzero(group), len(first))
                 runs = list(zip(a[first].tolist(), a[last].tolist(), b[first].tolist(), b[last].tolist(), size.tolist()))
                 for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    for found in chains(runs[x:y]) if y - x > 1 or runs[x][4] > 1 else ():
-                        if sum(r[4] for r in found) > 1:
-                            out[0].append(int(d[first[x]]))
-                            out[1].append(int(s[first[x]]))
-                            # only words within reach of the chain are sent on
-                            lows = [max(0, found[0][z] - REACH) for z in (0, 2)]
-                            out[2].append((np.array(found, np.int32) - np.array([lows[0], lows[0], lows[1], lows[1], 0], np.int32)).tobytes())
-                            out[3].append((lows[0], found[-1][1] + k + REACH - lows[0]))
-                            out[4].append((lows[1], found[-1][3] + k + REACH - lows[1]))
+                    for found in chains(runs[x:y]):
+                        out[0].append(int(d[first[x]]))
+                        out[1].append(int(s[first[x]]))
+                        # only words within reach of the chain are sent on
+                        lows = [max(0, found[0][z] - REACH) for z in (0, 2)]
+                        out[2].append((np.array(found, np.int32) - np.array([lows[0], lows[0], lows[1], lows[1], 0], np.int32)).tobytes())
+                        out[3].append((lows[0], found[-1][1] + k + REACH - lows[0]))
+                        out[4].append((lows[1], found[-1][3] + k + REACH - lows[1]))
             ends = [pa.array([v[z] for v in out[c]], pa.int32()) for c in (3, 4) for z in (0, 1)]
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), *ends], names=["doc_id", "source_id", "runs", "low", "size", "source_low", "source_size"])
 

@@ -130,3 +130,20 @@ def test_split_against_all_parts():
                 assert len(run) < 50 or covered >= set(run)
                 run = []
             run.append(p)
+
+
+def test_first_copy_of_common_words(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    copies = {n: text(n) for n in (50, 60)}
+    rows, i = [], 0
+    for p in copies.values():  # every run of 9 words occurs in an earlier document of its own
+        for at in range(len(p) - 8):
+            rows.append((i, " ".join(text(30) + p[at : at + 9] + text(30))))
+            i += 1
+    for n, p in copies.items():
+        rows += [(1000 + n, " ".join(text(40) + p + text(40))), (2000 + n, " ".join(text(70) + p + text(10)))]
+    got = S.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(2000 + n, 1000 + n) for n in copies}
+    for r in got:
+        assert abs(r["start_word"] - 70) <= 3 and abs(r["source_start"] - 40) <= 3 and r["n_words"] >= 50 and r["alike"] >= 0.95
