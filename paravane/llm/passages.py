@@ -1,8 +1,8 @@
 """Substring dedup: fuzzy repeated passages by collinear chaining.
 
 1. Seeds: of the hashed k-word runs of a document, the smallest of every
-   WINDOW consecutive ones.  Two documents that share WINDOW + k - 1 words in
-   a row share a seed.
+   WINDOW consecutive ones; with a WINDOW of 1, all of them.  Two documents
+   that share WINDOW + k - 1 words in a row share a seed.
 2. Join: every occurrence of a seed is matched with the seed's first
    occurrence (least document, then place), so a seed that occurs n times
    gives n - 1 matches, not n * n.  Runs of CONTEXTS words are matched in the
@@ -32,7 +32,7 @@ from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slic
 from paravane.llm.words import shingle_hashes, word_hashes
 
 #: Words of a seed, and the consecutive seeds of which the smallest is taken.
-SEED_WORDS, WINDOW = 5, 16
+SEED_WORDS, WINDOW = 5, 1
 #: The same of the longer runs that are matched as well: all of 50 words, some of 20.
 CONTEXTS = ((20, 8), (50, 1))
 #: What a seed earns; what a skipped word costs on either side; the widest gap inside a run.

@@ -147,3 +147,20 @@ def test_first_copy_of_common_words(spark):
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(2000 + n, 1000 + n) for n in copies}
     for r in got:
         assert abs(r["start_word"] - 70) <= 3 and abs(r["source_start"] - 40) <= 3 and r["n_words"] >= 50 and r["alike"] >= 0.95
+
+
+def test_recall_of_changed_passages(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, sizes = [], {}
+    for size, every in ((50, 10), (50, 8), (60, 10), (60, 8), (60, 6), (80, 8)):
+        for _ in range(8):
+            p = text(size)
+            changed = [f"new{rng.randrange(10**6)}" if i % every == every // 2 else w for i, w in enumerate(p)]
+            n = len(sizes)
+            rows += [(n, " ".join(text(30) + p + text(30))), (1000 + n, " ".join(text(45) + changed + text(15)))]
+            sizes[1000 + n] = size
+    got = S.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(d, d - 1000) for d in sizes}  # all alike between 0.83 and 0.9
+    for r in got:
+        assert r["alike"] >= 0.8 and abs(r["start_word"] - 45) <= 3 and abs(r["n_words"] - sizes[r["doc_id"]]) <= 6
