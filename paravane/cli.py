@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import importlib
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,11 @@ from pyspark.sql import functions as F
 
 from paravane import config
 from paravane.operators import bootstrap, clean, metrics, statistics
-from paravane.plans import analyze, augment, inference, sinks
+from paravane.plans import analyze, augment, decoder, evaluate, inference, sinks
 from paravane.plans.analyze import KEYS
-from paravane.registry import DATASETS, EVALUATORS, PARAMETERS
+from paravane.registry import AUGMENTERS, DATASETS, EVALUATORS, MODELS, PARAMETERS
 from paravane.schemas import VARIANTS
-from paravane.sources import results, tasks, variants
+from paravane.sources import paths, providers, results, tasks, variants
 
 
 def session() -> SparkSession:
@@ -62,53 +64,82 @@ def named(reference: str):
 
 
 def run_augment(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Build both rewritten variants; --client is 'module:factory' of an object with complete(prompt, temperature, max_output_tokens)."""
+    """Build both rewritten variants; run it again to resume.
+
+    Outcomes are appended to ``<variant>.progress`` before they are used, in ``--chunks`` jobs; a
+    later session asks only for rows that have none, or that the response cache does not know.
+    --client is 'module:factory' of an object with complete(prompt, temperature,
+    max_output_tokens); by default the configured provider.
+    """
     cfg = config.load(config.AugmentConfig, a.config, seed=a.seed)
-    make, root = named(a.client), f"{a.rows}/{cfg.dataset}"
+    decoder.seed_everything(cfg.seed)
+    model, root = f"{cfg.augmenter}/{cfg.augmenter_model}", f"{a.rows}/{cfg.dataset}"
+    make = named(a.client) if a.client else functools.partial(providers.HostedModel, AUGMENTERS.get(cfg.augmenter), cfg.augmenter_model)
     templates = {"paraphrase": Path(cfg.prompts.paraphrase).read_text(), "idiomatic": Path(cfg.prompts.idiomatic).read_text()}
     source, builds = variants.read_rows(spark, f"{root}/original"), {}
     for variant, template in templates.items():
         path = f"{root}/{variant}"
-        prior = variants.read_rows(spark, path, torn_tail=True) if Path(path).exists() else None
-        skips = variants.read_skips(spark, f"{path}.skips") if Path(f"{path}.skips").exists() else None
-        judges = {name: judge(Path(settings["prompt"]).read_text()) for name, settings in cfg.validators.items() if settings.get("prompt") and name in inference.CHECKS[variant]}
-        rewrite = lambda df, judges=judges: inference.rewrite(df, make, judges, cfg.decoding.temperature, cfg.decoding.max_output_tokens, cfg.retry.max_attempts, cfg.retry.backoff_seconds)
-        builds[variant] = augment.build_variant(source, variant, template, cfg.augmenter_model, rewrite, prior, skips)
-        sinks.append_checkpoint(builds[variant].rows, f"{path}.progress")
-        if builds[variant].paused:
+        progress = augment.Progress(spark, f"{path}.progress")
+        if paths.exists(spark, path) and not paths.exists(spark, progress.path):
+            prior = variants.read_rows(spark, path, torn_tail=True)
+            progress.seed(prior, variants.read_skips(spark, f"{path}.skips") if paths.exists(spark, f"{path}.skips") else None)
+        judges = {name: inference.judge(Path(settings.prompt).read_text()) for name in inference.CHECKS[variant] if (settings := getattr(cfg.validators, name)) and getattr(settings, "prompt", None)}
+        rewrite = functools.partial(inference.rewrite, make_client=make, judges=judges, temperature=cfg.decoding.temperature, max_output_tokens=cfg.decoding.max_output_tokens, max_attempts=cfg.retry.max_attempts, backoff=cfg.retry.backoff_seconds, judge_temperature=cfg.judge.temperature, judge_tokens=cfg.judge.max_output_tokens)
+        cache = variants.read_cache(spark, cfg.cache.dir) if cfg.cache.enabled and paths.exists(spark, cfg.cache.dir) else None
+        builds[variant] = build = augment.build_variant(source, variant, template, model, rewrite, progress.kept(), progress.skipped(), cache, functools.partial(progress.record, chunks=a.chunks))
+        bought = build.session.filter("status = 'ok' AND NOT cached").withColumnRenamed("x", "response")
+        if cfg.cache.enabled and not bought.isEmpty():
+            sinks.append_cache(bought, cfg.cache.dir)
+        if build.paused:
             raise SystemExit(f"{variant}: paused by the provider; run again to resume")
     rows, skips = augment.finish(builds)
+    total = source.count()
     for variant in templates:
-        sinks.write_rows(rows.filter(F.col("variant") == variant), f"{root}/{variant}", True)
-        sinks.write_skips(skips.filter(F.col("variant") == variant), f"{root}/{variant}.skips")
-
-
-def judge(template: str):
-    """Renders a judge's prompt from a rewrite and its row."""
-    return lambda x, row: template.replace("{original}", row["x"]).replace("{rewritten}", x) if "{original}" in template else template.replace("{rewritten}", x)
+        path, own = f"{root}/{variant}", skips.filter(F.col("variant") == variant)
+        sinks.replace_rows(rows.filter(F.col("variant") == variant), path)
+        sinks.write_skips(own, f"{path}.skips")
+        written, skipped = variants.read_rows(spark, path), variants.read_skips(spark, f"{path}.skips")
+        figures, cached = augment.counts(builds[variant], written, skipped, total)
+        side = sinks.sidecar("augment", cfg.model_dump(), figures, cache_stats=cached, augmenter_model=model, prompt_hash=augment.prompt_digest(spark, templates[variant]))
+        sinks.write_text(spark, f"{path}.meta.json", sinks.json_text(side))
 
 
 def run_eval(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Evaluate every variant; --client is 'module:loader' of a function from chats to texts."""
-    from paravane.plans import evaluate
-
-    cfg, evaluator, load = config.load(config.EvalConfig, a.config, seed=a.seed), EVALUATORS.get(a.dataset), named(a.client)
-    target = Path(f"{a.results}/{a.dataset}/{cfg.model.replace('/', '_')}")
-    sinks.guard(target, a.force)
-    on_disk = {v for v in VARIANTS if Path(f"{a.rows}/{a.dataset}/{v}").exists()}
-    for v in config.resolve_variants(on_disk, a.variants.split(",") if a.variants else None):
-        rows = variants.first_rows(variants.read_rows(spark, f"{a.rows}/{a.dataset}/{v}"), a.limit, v)
-        done = evaluate.evaluate(rows, evaluator, lambda df: inference.predict(df, load, cfg.batch.size))
-        done.withColumn("model_id", F.lit(cfg.model)).withColumn("dataset", F.lit(a.dataset)).write.mode("overwrite").parquet(f"{target}/{v}")
+    """Evaluate every variant; run it again to resume.
+
+    Scored rows are appended to a checkpoint, in ``--chunks`` jobs; one of another prompt or
+    configuration is refused.  It is removed when the result file is written.  --client is
+    'module:loader' of a function from chats to texts; by default the configured model is loaded.
+    """
+    cfg, evaluator = config.load(config.EvalConfig, a.config, seed=a.seed), EVALUATORS.get(a.dataset)
+    decoder.seed_everything(cfg.seed)
+    load = named(a.client) if a.client else decoder.decoder(MODELS.get(cfg.model), cfg.decoding.model_dump(), cfg.precision, seed=cfg.seed)
+    name = cfg.model.replace("/", "_")
+    target, check = f"{a.results}/{a.dataset}/{name}", f"{a.results}/.progress/{a.dataset}/{name}"
+    sinks.guard(f"{target}.json", a.force, spark)
+    hashes = {"prompt_hash": spark.range(1).select(evaluator.prompt_hash().alias("h")).first()["h"], "config_hash": evaluate.config_hash(cfg.model_dump())}
+    on_disk = {v for v in VARIANTS if paths.exists(spark, f"{a.rows}/{a.dataset}/{v}")}
+    run = config.resolve_variants(on_disk, a.variants.split(",") if a.variants else None)
+    spent, rows_of = {}, {}
+    for v in run:
+        rows_of[v] = rows = variants.first_rows(variants.read_rows(spark, f"{a.rows}/{a.dataset}/{v}"), a.limit, v)
+        store = evaluate.Checkpoint(spark, f"{check}/{v}", **hashes)
+        began = time.monotonic()
+        predicted = evaluate.evaluate(rows, evaluator, lambda df: inference.predict(df, load, cfg.batch.size), store.read(), functools.partial(store.record, chunks=a.chunks))
+        predicted.withColumn("model_id", F.lit(cfg.model)).withColumn("dataset", F.lit(a.dataset)).write.mode("overwrite").parquet(f"{target}/{v}")
+        spent[v] = store.add_time(time.monotonic() - began)
         evaluate.run_metrics(spark.read.parquet(f"{target}/{v}")).show(truncate=False)
+    predictions = spark.read.parquet(*[f"{target}/{v}" for v in run]).drop("model_id", "dataset")
+    spec = MODELS.get(cfg.model) if cfg.model in MODELS.names() else None
+    about = {"dataset": a.dataset, "model_id": cfg.model, "model_revision": spec.revision if spec else "", "hf_repo": spec.repo if spec else "", "precision": cfg.precision or (spec.default_precision if spec else None), "config_path": str(a.config), "resolved_config": cfg.model_dump(), "seed": cfg.seed, "variants_run": run, "wall_time_seconds": spent, **hashes}
+    sinks.write_text(spark, f"{target}.json", sinks.json_text(evaluate.result(predictions, about)))
+    paths.remove(spark, check)
 
 
 def run_replay(spark: SparkSession, a: argparse.Namespace) -> None:
     """Score stored raw outputs again and print the metrics of each variant."""
-    from paravane.plans import evaluate
-
     evaluator = EVALUATORS.get(a.dataset)
-    on_disk = {v for v in VARIANTS if Path(f"{a.rows}/{a.dataset}/{v}").exists()}
+    on_disk = {v for v in VARIANTS if paths.exists(spark, f"{a.rows}/{a.dataset}/{v}")}
     for v in config.resolve_variants(on_disk, a.variants.split(",") if a.variants else None):
         rows = variants.first_rows(variants.read_rows(spark, f"{a.rows}/{a.dataset}/{v}"), a.limit, v)
         prior = results.predictions(results.read_results(spark, a.results)).filter(F.col("variant") == v).select("id", "raw")
@@ -205,6 +236,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--resamples", type=int, default=10_000)
         p.add_argument("--ci", type=float, default=0.95)
         p.add_argument("--limit", type=int)
+        p.add_argument("--chunks", type=int, default=8, help="jobs that a session's calls are split into; each one's results are kept when it ends")
         p.add_argument("--config")
         p.add_argument("--all", help="folder with a configuration for each dataset")
         p.add_argument("--raw", help="Parquet tables of the splits, comma-separated")

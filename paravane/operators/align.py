@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,10 +96,13 @@ def cache_key(prompt_hash: Column, model: Column, id_: Column) -> Column:
     return F.sha2(F.concat_ws("\x1e", prompt_hash, model, id_), 256)
 
 
-def with_cache(rows: DataFrame, cache: DataFrame) -> DataFrame:
-    """Left lookup of cached responses by (prompt_hash, augmenter_model, id); ``hit`` tells which were found."""
+def with_cache(rows: DataFrame, cache: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Left lookup of cached responses by (prompt_hash, augmenter_model, id); ``hit`` tells which were found.
+
+    ``carry`` names more columns of the cache that come along.
+    """
     keys = ["prompt_hash", "augmenter_model", "id"]
-    return rows.join(cache.select(*keys, F.col("response").alias("cached")), keys, "left").withColumn("hit", F.col("cached").isNotNull())
+    return rows.join(cache.select(*keys, F.col("response").alias("cached"), *carry), keys, "left").withColumn("hit", F.col("cached").isNotNull())
 
 
 def cache_stats(looked_up: DataFrame) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paravane.functions import parsers, prompts
 from paravane.functions import text as T
 from paravane.operators import align, metrics
 from paravane.registry import register_evaluator
+from paravane.schemas import VARIANTS
+from paravane.sources import paths
 
 
 class Evaluator:
@@ -37,16 +42,53 @@ CHOICE = register_evaluator("mmlu")(Evaluator(prompts.CHOICE_SYSTEM, prompts.CHO
 RELATION = register_evaluator("mnli")(Evaluator(prompts.PAIR_SYSTEM, prompts.PAIR_USER, prompts.pair_messages, parsers.parse_relation))
 
 
-def evaluate(rows: DataFrame, evaluator: Evaluator, infer: Callable[[DataFrame], DataFrame], done: DataFrame | None = None) -> DataFrame:
+#: Columns of a scored prediction.
+SCORED = ("id", "variant", "y", "raw", "parsed", "parse_status", "correct", "row_idx")
+
+
+def evaluate(rows: DataFrame, evaluator: Evaluator, infer: Callable[[DataFrame], DataFrame], done: DataFrame | None = None, record: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Scored predictions for variant rows: (id, variant, y, raw, parsed, parse_status, correct, row_idx).
 
-    ``infer`` adds ``raw``.  Rows that ``done`` holds already are not sent again, but merged in.
+    ``infer`` adds ``raw``.  Rows that ``done`` holds already are not sent again, but merged in;
+    ``record`` stores the new ones and reads them back.
     """
-    keep = ["id", "variant", "y", "raw", "parsed", "parse_status", "correct", "row_idx"]
     keys = ["id", "variant"]
     todo = rows if done is None else rows.join(done.select(*keys), keys, "left_anti")
-    new = evaluator.scored(infer(evaluator.formatted(todo))).select(*keep)
-    return new if done is None else new.unionByName(done.join(rows.select(*keys), keys, "left_semi").select(*keep))
+    new = evaluator.scored(infer(evaluator.formatted(todo))).select(*SCORED)
+    new = record(new) if record else new
+    return new if done is None else new.unionByName(done.join(rows.select(*keys), keys, "left_semi").select(*SCORED))
+
+
+class Checkpoint:
+    """Scored rows of an unfinished run, appended job by job; one of another prompt or configuration is refused."""
+
+    def __init__(self, spark: SparkSession, path: str, prompt_hash: str, config_hash: str):
+        self.spark, self.path, self.hashes = spark, path, (prompt_hash, config_hash)
+
+    def read(self) -> DataFrame | None:
+        """What earlier sessions scored, or None."""
+        if not paths.exists(self.spark, f"{self.path}/rows"):
+            return None
+        # read once, so that rows of this session do not join those that were there before it
+        kept = compatible(self.spark.read.parquet(f"{self.path}/rows"), *self.hashes).select(*SCORED)
+        return kept.checkpoint()
+
+    def record(self, scored: DataFrame, chunks: int = 1) -> DataFrame:
+        session = uuid.uuid4().hex
+        for n in range(chunks):
+            part = scored if chunks == 1 else scored.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == n)
+            part.withColumns({"prompt_hash": F.lit(self.hashes[0]), "config_hash": F.lit(self.hashes[1]), "session": F.lit(session)}).write.mode("append").parquet(f"{self.path}/rows")
+        return self.spark.read.parquet(f"{self.path}/rows").filter(F.col("session") == session).select(*SCORED)
+
+    def add_time(self, seconds: float) -> float:
+        """The seconds of this session and of those before it."""
+        self.spark.createDataFrame([(seconds,)], "seconds double").write.mode("append").parquet(f"{self.path}/seconds")
+        return self.spark.read.parquet(f"{self.path}/seconds").agg(F.sum("seconds").alias("s")).first()["s"]
+
+
+def config_hash(config: dict) -> str:
+    """Hash of a configuration's JSON, keys in order."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
 
 
 def replay(rows: DataFrame, prior: DataFrame, evaluator: Evaluator) -> DataFrame:
@@ -69,3 +111,21 @@ def per_task(predictions: DataFrame, labels: DataFrame) -> DataFrame:
 def run_metrics(predictions: DataFrame) -> DataFrame:
     """Metrics over every row of each variant, aligned or not."""
     return metrics.variant_metrics(predictions, [])
+
+
+def result(predictions: DataFrame, about: dict) -> dict:
+    """A run's result document: what it was, each variant's metrics, and its aligned tasks one by one.
+
+    The document is for exchange with other programs and is put together on the driver; the
+    predictions themselves are stored as a table.
+    """
+    found = {r["variant"]: r.asDict(recursive=True) for r in run_metrics(predictions).collect()}
+    unparsed = predictions.filter("parse_status <> 'ok'").orderBy("row_idx").select("variant", "id").collect()
+    lines = per_task(predictions, predictions.filter("variant = 'original'").select("id", "y")).toJSON().collect() if set(about["variants_run"]) == set(VARIANTS) else []
+    metrics_of = {v: {k: x for k, x in r.items() if k in ("accuracy", "unparseable_rate", "n", "n_unparseable")} for v, r in found.items()}
+    return {"stage": "eval", **about, "metrics": metrics_of, "unparseable_ids": {v: [r["id"] for r in unparsed if r["variant"] == v] for v in about["variants_run"]}, "per_task": [_task(json.loads(line)) for line in lines]}
+
+
+def _task(task: dict) -> dict:
+    """A task of a result document; a text that was not parsed is null there."""
+    return {"id": task["id"], "y": task.get("y", ""), **{v: {"parsed": None, **task[v]} for v in VARIANTS}}

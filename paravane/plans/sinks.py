@@ -15,10 +15,12 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 import pyspark
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paravane import schemas
 from paravane.schemas import VARIANT_COLUMNS
+from paravane.sources import paths
 from paravane.sources.variants import CSV
 
 
@@ -26,8 +28,10 @@ class Exists(FileExistsError):
     """The target exists and overwriting was not asked for."""
 
 
-def guard(path: str | Path, force: bool) -> None:
-    if Path(path).exists() and not force:
+def guard(path: str | Path, force: bool, spark: SparkSession | None = None) -> None:
+    """An error if the target exists and may not be overwritten; with a session, in any store that it reads."""
+    there = paths.exists(spark, str(path)) if spark else Path(path).exists()
+    if there and not force:
         raise Exists(f"{path} exists; pass force to overwrite it")
 
 
@@ -44,20 +48,30 @@ def with_validators_json(df: DataFrame) -> DataFrame:
     return df.withColumn("validators", F.to_json(ordered, {"ignoreNullFields": "false"}))
 
 
+def replace_rows(df: DataFrame, path: str) -> None:
+    """Variant rows in the place of older ones, from which they may be computed: written beside them, then renamed."""
+    draft = f"{path}.draft"
+    write_rows(df, draft, True)
+    paths.replace(df.sparkSession, draft, path)
+
+
 def append_checkpoint(df: DataFrame, path: str) -> None:
     """Progress of a session: one atomic append of Parquet files."""
     df.write.mode("append").parquet(path)
 
 
 def append_cache(df: DataFrame, path: str, enabled: bool = True) -> None:
-    """Cached responses, appended before they are used; nothing happens while the cache is off."""
+    """Cached responses and, where there are any, their verdicts; nothing happens while the cache is off."""
     if enabled:
-        df.select("prompt_hash", "augmenter_model", "id", F.to_json(F.struct(F.col("response").alias("x"))).alias("record")).write.mode("append").parquet(path)
+        verdicts = [F.from_json("validators", schemas.VALIDATORS).alias("validators")] if "validators" in df.columns else []
+        record = F.to_json(F.struct(F.col("response").alias("x"), *verdicts), {"ignoreNullFields": "false"}) if verdicts else F.to_json(F.struct(F.col("response").alias("x")))
+        df.select("prompt_hash", "augmenter_model", "id", record.alias("record")).write.mode("append").parquet(path)
 
 
 def write_skips(df: DataFrame, path: str) -> None:
-    """The skip manifest, in id order, as one JSON record a line."""
-    df.orderBy("id", "variant").write.mode("overwrite").json(path)
+    """The skip manifest, in id order, as one JSON record a line; written beside the old one, then renamed."""
+    df.orderBy("id", "variant").write.mode("overwrite").json(f"{path}.draft")
+    paths.replace(df.sparkSession, f"{path}.draft", path)
 
 
 def atomic_text(path: str | Path, text: str) -> None:
@@ -69,9 +83,22 @@ def atomic_text(path: str | Path, text: str) -> None:
     os.replace(draft, target)
 
 
+def json_text(value: dict) -> str:
+    return json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+
+
 def write_json(path: str | Path, value: dict, force: bool = True) -> None:
     guard(path, force)
-    atomic_text(path, json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
+    atomic_text(path, json_text(value))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store that Spark writes: beside the target, then renamed."""
+    store = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    out = store.getFileSystem(spark._jsc.hadoopConfiguration()).create(store, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    paths.replace(spark, f"{path}.part", path)
 
 
 def sidecar(stage: str, config: dict, counts: dict, **more) -> dict:

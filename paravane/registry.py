@@ -92,10 +92,3 @@ def pick_device(cuda: bool, mps: bool) -> str:
 def pick_precision(device: str, wanted: str) -> str:
     """CPU runs in single precision, whatever is asked for."""
     return "fp32" if device == "cpu" else wanted
-
-
-#: The names under which rewriting providers are configured; the client itself is passed in.
-for _name in ("gemini", "anthropic", "openai"):
-    register_augmenter(_name)(_name)
-for _name in ("label_preservation", "idiom_presence", "idiom_absence", "semantic_similarity"):
-    register_validator(_name)(_name)

@@ -28,3 +28,6 @@ RESULT = T.StructType(
 )
 
 SKIPPED = T.StructType([T.StructField("id", T.StringType()), T.StructField("variant", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("failing", T.ArrayType(T.StringType())), T.StructField("attempts", T.IntegerType())])
+
+#: An outcome of a rewriting session, stored before it is used: status is ok, skip or transient.
+PROGRESS = T.StructType([*VARIANT_ROW.fields, T.StructField("status", T.StringType()), T.StructField("failing", T.ArrayType(T.StringType())), T.StructField("attempts", T.IntegerType()), T.StructField("cached", T.BooleanType()), T.StructField("session", T.StringType())])
