@@ -130,3 +130,50 @@ def test_logistic_is_stationary(seed):
     w = toxicity.fit_logistic(x, y)
     p = 1 / (1 + np.exp(-x @ w))
     assert np.abs(x.T @ (p - y) + 1e-2 * w).max() < 1e-6
+
+
+def every_path(parts, symbols):
+    """Weights of all accepted paths, by walking the five transducers one after the other over whole strings."""
+    strings = [([s for s, _ in symbols], 1.0)]
+    for k, part in enumerate(parts):
+        out = []
+        for string, weight in strings:
+            walks = [(part.start, [], weight)]
+            for place, symbol in enumerate(string):
+                walks = [
+                    (to, [*done, made], w * v * (symbols[place][1] if k == 0 and made & toxicity.PICK else 1.0))
+                    for state, done, w in walks
+                    for made, v, to in part.arcs(state, symbol)
+                ]
+            out += [(done, w) for _, done, w in walks]
+        strings = out
+    return [w for string, w in strings if any(s & toxicity.PICK for s in string)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_composition_against_all_paths(seed):
+    rng = random.Random(seed)
+    g = toxicity.Grammar({"moron": 4.0, "kill": 1.5}, {"vequ": 3.0})
+    vocab = ["moron", "vequille", "you", "not", "said", '"', "i", "will", "kill", "the", "quiet", "they", "never"]
+    parts = [
+        toxicity.picking(toxicity.INSULT),
+        toxicity.threatening(),
+        toxicity.scope(lambda s: toxicity.TARGET_GAP + 1 if s & toxicity.TARGET else 0, toxicity.TARGETED, also=toxicity.ADDRESSED),
+        toxicity.scope(lambda s: toxicity.NEGATION_SCOPE if s & toxicity.NEGATION else 0, toxicity.NEGATED),
+        toxicity.scope(lambda s: toxicity.REPORT_SCOPE if s & toxicity.REPORT else 0, toxicity.REPORTED, toggles=toxicity.QUOTE),
+    ]
+    for _ in range(60):
+        symbols = g.symbols(" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 9))))
+        want = every_path(parts, symbols)
+        best, total = toxicity.paths(symbols)
+        assert best == pytest.approx(max(want, default=0.0)) and total == pytest.approx(sum(want))
+
+
+def test_target_must_lead_up_to_the_insult():
+    g = toxicity.Grammar({"moron": 4.0}, {})
+    aimed = 4.0 * toxicity.TARGETED
+    assert g.clause("you are a moron") == pytest.approx(aimed) == pytest.approx(g.clause("moron you"))
+    for apart in ("the moron left while they slept", "the moron who saw them", "you and all of the other people there saw a moron"):
+        assert g.clause(apart) == pytest.approx(4.0)
+    assert g.clause("you are not a moron") == pytest.approx(aimed * toxicity.NEGATED)
+    assert g.clause('he said "you moron"') == pytest.approx(aimed * toxicity.REPORTED)
