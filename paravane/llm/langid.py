@@ -7,8 +7,10 @@ log2 of the automaton's text length bits (a pointer into it), so the phrase
 count times that cost, over the text's length, estimates the cross entropy.
 The language that needs the fewest normalised phrases wins.
 
-Texts are parsed in segments of ``SEGMENT`` symbols, many segments side by
-side: one table lookup moves all of them by one symbol.
+A text is parsed as a whole.  To move many symbols at once, it is cut into
+segments that are parsed side by side, each as if it began a phrase; then each
+segment is parsed again from the state in which its predecessor ended, until
+both parses are in the same state, from where on they are the same.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 
 from paravane.llm.common import arrow_map, keyed_text, text_of, text_slices
 
-#: Bounds of the training sample: documents and symbols a language, symbols a document, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 400, 48_000, 1_200, 64
-#: Symbols that are parsed as one unit; each unit starts a new phrase.
-SEGMENT = 512
-#: Letters that get a symbol of their own; the rest share one.
-MAX_LETTERS = 250
+#: Bounds of the training sample: documents and symbols a language, and bytes of all transition tables.
+SAMPLE_DOCS, SAMPLE_CHARS, TABLE_BYTES = 400, 48_000, 128 << 20
+#: Documents are sampled shorter ones first, by steps of this many characters.
+LENGTH_STEP = 2_400
+#: Symbols of a segment, and of the pieces that a very long text is read in.
+SEGMENT, PIECE = 512, 1 << 21
+#: Letters that get a symbol of their own; the rest share some, by their place in the code.
+MAX_LETTERS, SHARED = 200, 50
 UNDETERMINED = "und"
 
 
@@ -69,20 +73,22 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         letters = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
         known = sorted(letters, key=lambda c: (-letters[c], c))[:MAX_LETTERS]
-        self.width = len(known) + 2  # 0 is white space and all that is no letter, 1 any other letter
-        self.symbol = np.zeros(sys.maxunicode + 1, np.uint8)
-        number = {c: k + 2 for k, c in enumerate(known)}
+        self.symbol = np.zeros(sys.maxunicode + 1, np.uint8)  # 0 is white space and all that is no letter
         every = np.arange(sys.maxunicode + 1)
         alpha = np.fromiter((chr(c).isalpha() for c in every), bool, len(every))
-        self.symbol[alpha] = 1
-        for c, k in number.items():
-            self.symbol[ord(c)] = k
+        first = len(known) + 1
+        self.symbol[alpha] = first + (every[alpha] >> 5) % SHARED
+        self.width = first + SHARED
+        for k, c in enumerate(known):
+            self.symbol[ord(c)] = k + 1
             if len(c.upper()) == 1 and c.upper().lower() == c:
-                self.symbol[ord(c.upper())] = k
+                self.symbol[ord(c.upper())] = k + 1
         self.languages = sorted(samples)
+        # an automaton has up to two states a symbol, with a row of four bytes a symbol each
+        most = max(64, TABLE_BYTES // max(1, len(samples) * self.width * 8))
         self.tables, self.bits = [], []
         for language in self.languages:
-            symbols, _ = self.normalise([samples[language]])
+            symbols = self.normalise([samples[language]])[0][:most]
             moves = automaton(symbols.tolist())
             self.tables.append(self.dense(moves))
             self.bits.append(np.log2(max(2, len(symbols))))
@@ -115,37 +121,76 @@ class CrossParser:
             at = np.zeros(len(texts) + 1, np.int64)
         return symbols[keep], at
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrase counts by language and text, and the texts' lengths in symbols."""
+    def phrases(self, texts: list[str], states: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end inside each text, by language and text, and the texts' lengths in symbols.
+
+        ``states`` holds the state in which each parse begins, and gets the one in which it ends.
+        """
         symbols, at = self.normalise(texts)
         sizes = np.diff(at)
-        owner, start, size = [], [], []
+        if states is None:
+            states = np.zeros((len(self.tables), len(texts)), np.int64)
         pieces = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        first = np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = np.repeat(at[:-1], pieces) + SEGMENT * (np.arange(len(owner)) - first)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)  # of a segment in its text
+        start = np.repeat(at[:-1], pieces) + SEGMENT * place
         size = np.minimum(SEGMENT, np.repeat(at[1:], pieces) - start)
         order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        longest = int(size[0]) if len(size) else 0
-        lanes = np.searchsorted(-size, -np.arange(longest), side="left")  # segments longer than t
+        lane = np.empty(len(order), np.int64)
+        lane[order] = np.arange(len(order))
+        longest = int(size.max()) if len(size) else 0
+        lanes = np.searchsorted(-size[order], -np.arange(longest), side="left")  # segments longer than t
         padded = np.concatenate([symbols, np.zeros(SEGMENT, np.uint8)])
-        columns = np.ascontiguousarray(padded[start[:, None] + np.arange(longest)].T).astype(np.int32) if longest else np.zeros((0, 0), np.int32)
+        columns = np.ascontiguousarray(padded[start[order][:, None] + np.arange(longest)].T).astype(np.int32) if longest else np.zeros((0, 0), np.int32)
+        heads, tails = np.flatnonzero(place == 0), np.cumsum(pieces)[pieces > 0] - 1
+        later = np.flatnonzero(place > 0)
         out = np.zeros((len(self.tables), len(texts)), np.int64)
         for k, moves in enumerate(self.tables):
-            row = np.zeros(len(size), moves.dtype)
-            ended = np.zeros(len(size), np.int32)
+            begin = np.zeros(len(size), moves.dtype)  # by lane
+            begin[lane[heads]] = states[k][owner[heads]]
+            row, ended = begin.copy(), np.zeros(len(size), np.int64)
             for t in range(longest):
                 n = lanes[t]
                 step = moves[row[:n] + columns[t, :n]]
                 ended[:n] += step & 3
                 row[:n] = step >> 2
-            ended += row != 0  # the open phrase
-            out[k] = np.bincount(owner, ended, len(texts)).astype(np.int64)
+            while len(wrong := later[begin[lane[later]] != row[lane[later - 1]]]):
+                mine, was, now = lane[wrong], begin[lane[wrong]], row[lane[wrong - 1]]
+                begin[mine] = now
+                for t in range(longest):
+                    apart = (was != now) & (mine < lanes[t])
+                    if not apart.all():
+                        ends = mine >= lanes[t]
+                        row[mine[ends & (was != now)]] = now[ends & (was != now)]
+                        mine, was, now = mine[apart], was[apart], now[apart]
+                        if not len(mine):
+                            break
+                    a, b = moves[was + columns[t, mine]], moves[now + columns[t, mine]]
+                    ended[mine] += (b & 3).astype(np.int64) - (a & 3)
+                    was, now = a >> 2, b >> 2
+                row[mine[was != now]] = now[was != now]
+            out[k] = np.bincount(owner[order], ended, len(texts)).astype(np.int64)
+            states[k][owner[tails]] = row[lane[tails]]
         return out, sizes
 
+    def counted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrase counts of whole texts, the open phrase included; a very long text is read in pieces."""
+        states = np.zeros((len(self.tables), len(texts)), np.int64)
+        if all(len(t) <= PIECE for t in texts):
+            counts, sizes = self.phrases(texts, states)
+        else:
+            counts, sizes = np.zeros(states.shape, np.int64), np.zeros(len(texts), np.int64)
+            for i, text in enumerate(texts):
+                for piece in pieces_of(text):
+                    now = np.ascontiguousarray(states[:, i : i + 1])
+                    found, size = self.phrases([piece], now)
+                    states[:, i] = now[:, 0]
+                    counts[:, i] += found[:, 0]
+                    sizes[i] += size[0]
+        return counts + (states != 0), sizes
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        counts, sizes = self.phrases(texts)
+        counts, sizes = self.counted(texts)
         cost = counts * np.array(self.bits)[:, None] / np.maximum(1, sizes)
         best = cost.argmin(axis=0)  # ties: the language that sorts first
         weight = np.exp2(-(cost - cost.min(axis=0)) * np.minimum(sizes, 32))
@@ -153,32 +198,45 @@ class CrossParser:
         return [(self.languages[b], float(s)) for b, s in zip(best, score)]
 
 
+def pieces_of(text: str) -> Iterator[str]:
+    """A text in pieces that normalise to the same symbols as the whole: none begins with a blank that counts."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + PIECE)
+        if end < len(text) and text[end - 1].isalpha() and not text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 @functools.lru_cache(2)
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(samples))
 
 
 def sample(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
-    """A bounded sample of (doc_id, text, lang): per language the documents of smallest hash.
+    """A bounded sample of (doc_id, text, lang): for every language the documents of smallest hash, shorter ones first.
 
-    At most SAMPLE_DOCS documents of DOC_CHARS characters a language are read, until SAMPLE_CHARS
-    are together; of more than MAX_LANGUAGES languages the most frequent are learned.
+    At most SAMPLE_DOCS documents a language are read, until SAMPLE_CHARS characters are together.
+    A language with many more rows is first reduced to those of small hash, before any shuffle, so
+    none gathers its rows in one task.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    short = rows.filter(F.col("lang").isin(names)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
-    chosen = short.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_DOCS).select("lang", "doc_id").collect()
-    if not chosen:
-        return ()
-    ids = sorted({r["doc_id"] for r in chosen if r["doc_id"] is not None})
-    found = rows.filter(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DOC_CHARS).alias("text")).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).collect()
-    out = {}
-    for r in sorted(found, key=lambda r: (r["h"], r["doc_id"])):
-        held = out.setdefault(r["lang"], [])
-        if sum(map(len, held)) < SAMPLE_CHARS:
-            held.append(r["text"])
-    return tuple(sorted((k, "\n".join(v)) for k, v in out.items()))
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"), F.expr(f"length(text) div {LENGTH_STEP}").alias("steps"))
+    # a row for each language and step of length
+    sizes = rows.groupBy("lang", "steps").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    upto = Window.partitionBy("lang").orderBy("steps").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = sizes.withColumn("rows_before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("chars_before", F.coalesce(F.sum("chars").over(upto), F.lit(0))).filter(f"rows_before < {SAMPLE_DOCS} AND chars_before < {SAMPLE_CHARS}")
+    # twice what is needed and more: fewer than needed pass with a chance below 1e-9
+    share = wanted.select("lang", "steps", (F.lit(2.0 * SAMPLE_DOCS + 100) / F.col("n")).alias("share"))
+    small = (F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("share")
+    first = Window.partitionBy("lang").orderBy("steps", "h", "doc_id", "text")
+    few = rows.join(F.broadcast(share), ["lang", "steps"]).filter(small).dropDuplicates(["lang", "doc_id", "text"])
+    before = F.coalesce(F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = few.withColumn("k", F.row_number().over(first)).withColumn("before", before).filter((F.col("k") <= SAMPLE_DOCS) & (F.col("before") < SAMPLE_CHARS))
+    out: dict[str, list[tuple]] = {}
+    for r in chosen.select("lang", "k", F.expr(f"substring(text, 1, {SAMPLE_CHARS} - before)").alias("text")).collect():
+        out.setdefault(r["lang"], []).append((r["k"], r["text"]))
+    return tuple(sorted((lang, "\n".join(t for _, t in sorted(found))) for lang, found in out.items()))
 
 
 def identify(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
@@ -188,8 +246,10 @@ def identify(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_co
     letter is ``und`` with score 0; so is every text if nothing is labelled.
     Equal costs go to the language whose name sorts first.  Repeated rows are
     predicted each, an empty table gives an empty result, and other columns of
-    the input are ignored.  The sample (bounded, see ``sample``) is broadcast;
-    each worker builds the automata once; documents are not shuffled.
+    the input are ignored.  Every labelled language can be predicted.  The sample
+    (bounded, see ``sample``) is broadcast; each worker builds the automata once,
+    in TABLE_BYTES bytes at most (with very many languages of fewer symbols each);
+    documents are not shuffled.
     """
     source = keyed_text(df, id_col, text_col)
     samples = sample(labelled)

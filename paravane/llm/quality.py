@@ -4,14 +4,15 @@ Graded ratings g_0 < g_1 < ... are modelled by one latent score w.x with
 shared weights over hashed text features and ordered thresholds:
 P(grade <= g_k) = sigmoid(theta_k - w.x).  The thresholds are kept in order by
 writing each as the one before plus the exponential of a free parameter.
-Features are the frequencies of hashed byte trigrams of the whole text, as
-square roots, and how much its words repeat.
+All features are hashed text: byte trigrams, and two kinds of patterns without
+the words themselves, which of PATTERN_WORDS words in a row are equal, and how
+often a word occurs in a text of some length.  Each kind's frequencies are
+taken as square roots and added up in one table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,33 +20,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paravane.llm.common import arrow_map, bounded_sample, keyed_text, text_of, text_slices
+from paravane.llm.words import mix, word_hashes
 
-#: Hashed features; labelled rows that are used at most; the largest number of grades.
-FEATURES, SAMPLE_ROWS, MAX_GRADES = 4096, 3_000, 32
-#: Steps of a share, in eighths from 0 to 1.
-SHARES = 9
+#: Hashed features; labelled rows that are used at most; words that a pattern compares.
+FEATURES, SAMPLE_ROWS, PATTERN_WORDS = 4096, 3_000, 6
 STEPS, RATE, RIDGE = 250, 0.1, 3e-4
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+_SHIFT = np.uint64(64 - (FEATURES - 1).bit_length())
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """A row per text: hashed trigram frequencies as square roots, then what the words repeat.
+def cells(kind: int, values: np.ndarray) -> np.ndarray:
+    """Columns of the feature table that values of a kind fall on."""
+    return (mix(values.astype(np.uint64) + np.uint64(kind << 48)) >> _SHIFT).astype(np.int64)
 
-    The last columns mark, in eighths, the share of words equal to the one before and the share of
-    distinct words.  A text without words has zeros only.
-    """
-    out = np.zeros((len(texts), FEATURES + 2 * SHARES), np.float32)
+
+def patterns(words: np.ndarray) -> np.ndarray:
+    """For each run of PATTERN_WORDS words (or the whole, if shorter) which of its words are equal, as bits."""
+    n = min(PATTERN_WORDS, len(words))
+    runs = np.lib.stride_tricks.sliding_window_view(words, n)
+    out, bit = np.zeros(len(runs), np.uint64), 0
+    for i in range(n):
+        for j in range(i + 1, n):
+            out |= (runs[:, i] == runs[:, j]).astype(np.uint64) << np.uint64(bit)
+            bit += 1
+    return out
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """A row per text: the hashed features.  An empty text has zeros only."""
+    out = np.zeros((len(texts), FEATURES), np.float32)
     shift = np.uint32(32 - (FEATURES - 1).bit_length())
+    words, at, _ = word_hashes(texts)
+
+    def add(row: np.ndarray, found: np.ndarray) -> None:
+        row += np.sqrt(np.bincount(found, minlength=FEATURES) / len(found))
+
     for k, text in enumerate(texts):
-        b = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
+        b = np.frombuffer(text.encode(), np.uint8)
         if len(b) >= 3:
-            h = (b[:-2] * _MIX[0] + b[1:-1] * _MIX[1] + b[2:] * _MIX[2]) * np.uint32(0x27D4EB2F)
-            out[k, :FEATURES] = np.sqrt(np.bincount(h >> shift, minlength=FEATURES) / len(h))
-        words = text.lower().split()
-        if words:
-            again = sum(map(eq, words, words[1:])) / len(words)
-            out[k, FEATURES + int(again * (SHARES - 1))] = 0.5
-            out[k, FEATURES + SHARES + int(len(set(words)) / len(words) * (SHARES - 1))] = 0.5
+            b = b.astype(np.uint32)
+            add(out[k], ((b[:-2] * _MIX[0] + b[1:-1] * _MIX[1] + b[2:] * _MIX[2]) * np.uint32(0x27D4EB2F)) >> shift)
+        own = words[at[k] : at[k + 1]]
+        if len(own):
+            add(out[k], cells(1, patterns(own)))
+            times = np.unique(own, return_counts=True)[1]
+            # each word's count by its power of two, with that of the text's length
+            add(out[k], cells(2, np.repeat(np.log2(times).astype(np.uint64) << np.uint64(8) | np.uint64(len(own).bit_length()), times)))
     return out
 
 
@@ -75,13 +95,13 @@ class CumulativeLink:
         for step in range(1, STEPS + 1):
             theta = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
             eta = x @ weights
-            cdf = np.column_stack([np.zeros(len(y)), sigmoid(theta[None, :] - eta[:, None]), np.ones(len(y))])
-            rows = np.arange(len(y))
-            high, low = cdf[rows, level + 1], cdf[rows, level]
+            # the thresholds above and below each row's grade
+            high = np.where(level < top, sigmoid(theta[np.minimum(level, top - 1)] - eta), 1.0)
+            low = np.where(level > 0, sigmoid(theta[np.maximum(level, 1) - 1] - eta), 0.0)
             chance = np.maximum(high - low, 1e-9)
             up, down = high * (1 - high) / chance, low * (1 - low) / chance
             g_eta = (up - down) / len(y)
-            g_theta = np.array([(np.where(level == k, -up, 0) + np.where(level == k + 1, down, 0)).sum() / len(y) for k in range(top)])
+            g_theta = (np.bincount(level, down, top + 1)[1:] - np.bincount(level, up, top + 1)[:-1]) / len(y)
             tail = np.cumsum(g_theta[::-1])[::-1]  # a threshold moves all that are above it
             g_free = np.concatenate([tail[:1], tail[1:] * np.exp(free[1:])])
             for p, g, a, b in ((weights, g_eta.astype(np.float32) @ x + np.float32(RIDGE) * weights, m[0], v[0]), (free, g_free, m[1], v[1])):
@@ -110,8 +130,6 @@ def train(labelled: DataFrame) -> CumulativeLink | None:
     if not got:
         return None
     y = np.array([r["rating"] for r in got])
-    if len(np.unique(y)) > MAX_GRADES:
-        raise ValueError(f"more than {MAX_GRADES} grades")
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in got]).astype(np.float32)
     order = np.lexsort((x[:, 0], x.sum(axis=1), y))  # one order, however rows arrive
     return CumulativeLink.fit(x[order], y[order])

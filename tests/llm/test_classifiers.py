@@ -33,7 +33,8 @@ def test_cross_parsing_against_substring_search():
     rng = random.Random(1)
     parser = langid.CrossParser({k: prose(rng, k, 200) for k in SYLLABLES})
     texts = [prose(rng, rng.choice(list(SYLLABLES)), rng.choice([1, 5, 40])) + rng.choice(["", " 12!", " жук"]) for _ in range(60)] + ["", "...", "ж"]
-    counts, sizes = parser.phrases(texts)
+    texts += [prose(rng, k, 900) + " жук 12 " + prose(rng, "bb", 700) for k in SYLLABLES]  # of many segments
+    counts, sizes = parser.counted(texts)
     symbols, at = parser.normalise(texts)
     rng2 = random.Random(1)
     samples = {k: prose(rng2, k, 200) for k in SYLLABLES}
@@ -41,11 +42,38 @@ def test_cross_parsing_against_substring_search():
         sample, _ = parser.normalise([samples[lang]])
         for i in range(len(texts)):
             own = symbols[at[i] : at[i + 1]].tolist()
-            want = sum(longest_match_phrases(own[j : j + langid.SEGMENT], sample.tolist()) for j in range(0, len(own), langid.SEGMENT))
-            assert counts[k][i] == want
+            assert counts[k][i] == longest_match_phrases(own, sample.tolist())
     assert sizes.tolist() == np.diff(at).tolist()
 
 
+def test_pieces_of_a_long_text_parse_as_the_whole(monkeypatch):
+    rng = random.Random(5)
+    parser = langid.CrossParser({k: prose(rng, k, 200) for k in SYLLABLES})
+    texts = ["   ".join(prose(rng, k, 30) for k in "aa bb cc aa".split()) + "!!  " for _ in range(4)] + ["", "a"]
+    whole, sizes = parser.counted(texts)
+    for size in (7, 20, 64):
+        monkeypatch.setattr(langid, "PIECE", size)
+        counts, short = parser.counted(texts)
+        assert (counts == whole).all() and (short == sizes).all()
+
+
+def test_eighty_languages(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllables = {f"l{n:02d}": ["".join(rng.choice(letters) for _ in range(rng.choice([2, 3]))) for _ in range(12)] for n in range(80)}
+    text = lambda k, n: " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(f"l{i % 80:02d}", 60), f"l{i % 80:02d}") for i in range(640)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, df.filter("doc_id < 480")).collect()}
+    assert len(set(got.values())) == 80 and sum(got[i] == lang for i, _, lang in rows if i >= 480) >= 0.98 * 160
+
+
+def test_sample_is_bounded_and_prefers_short_documents(spark):
+    rows = [(i, "lang a text " * 400, "a") for i in range(50)] + [(100 + i, f"short {i} " * 20, "a") for i in range(700)] + [(2000, "z" * 100_000, "z"), (None, "x", "a"), (5, None, "a"), (6, "x", None)]
+    got = dict(langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(got) == {"a", "z"} and len(got["z"]) == langid.SAMPLE_CHARS and "lang" not in got["a"] and 47_000 < len(got["a"]) < 49_000
+
+
 def test_language_held_out(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.choice(list(SYLLABLES)), rng.choice([4, 30, 200])), 0.5) for i in range(400)]
@@ -177,3 +205,64 @@ def test_target_must_lead_up_to_the_insult():
         assert g.clause(apart) == pytest.approx(4.0)
     assert g.clause("you are not a moron") == pytest.approx(aimed * toxicity.NEGATED)
     assert g.clause('he said "you moron"') == pytest.approx(aimed * toxicity.REPORTED)
+
+
+def naive_features(text):
+    """The quality features of one text, counted one by one."""
+    out = np.zeros(quality.FEATURES)
+    b, words = text.encode(), ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in text.split()]
+    kinds = []
+    if len(b) >= 3:
+        kinds.append([((b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA77 + b[i + 2] * 0xC2B2AE3D) * 0x27D4EB2F % 2**32) >> 20 for i in range(len(b) - 2)])
+    if words:
+        n = min(quality.PATTERN_WORDS, len(words))
+        bits = []
+        for i in range(len(words) - n + 1):
+            pairs = [(x, y) for x in range(n) for y in range(x + 1, n)]
+            bits.append(sum((words[i + x] == words[i + y]) << k for k, (x, y) in enumerate(pairs)))
+        kinds.append(quality.cells(1, np.array(bits)).tolist())
+        times = [words.count(w) for w in words]
+        kinds.append(quality.cells(2, np.array([int(math.log2(t)) << 8 | len(words).bit_length() for t in times])).tolist())
+    for found in kinds:
+        for cell in set(found):
+            out[cell] += math.sqrt(found.count(cell) / len(found))
+    return out
+
+
+def test_quality_features_one_by_one():
+    rng = random.Random(9)
+    texts = [prose(rng, rng.choice(list(SYLLABLES)), n) for n in (1, 2, 5, 60)] + ["aa aa aa aa Aa aa aa", "", "x", "  "]
+    got = quality.features(texts)
+    assert np.abs(got - np.stack([naive_features(t) for t in texts])).max() < 1e-6
+
+
+def test_quality_fit_against_the_plain_likelihood():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)).astype(np.float32)
+    y = np.digitize(x @ np.array([1.5, -1, 0.3]) + rng.logistic(size=400), [-1.5, 0, 1.2]).astype(float)  # four grades
+    model = quality.CumulativeLink.fit(x, y)
+
+    def loss(weights, theta):
+        total = 0.0
+        for row, grade in zip(x, y.astype(int)):
+            eta = float(row @ weights)
+            cdf = [0.0, *(1 / (1 + math.exp(-(t - eta))) for t in theta), 1.0]
+            total -= math.log(cdf[grade + 1] - cdf[grade])
+        return total / len(y) + quality.RIDGE / 2 * float(weights @ weights)
+
+    least = loss(model.weights, model.theta)
+    for _ in range(30):  # no step in any direction helps
+        dw, dt = rng.normal(size=3) * 0.05, rng.normal(size=3) * 0.05
+        assert loss(model.weights + dw, np.sort(model.theta + dt)) >= least - 1e-5
+    mean, tail = model.predict(x[:20], 2.0)
+    for row, m, t in zip(x[:20], mean, tail):
+        cdf = [0.0, *(1 / (1 + math.exp(-(c - float(row @ model.weights)))) for c in model.theta), 1.0]
+        chance = [b - a for a, b in zip(cdf, cdf[1:])]
+        assert m == pytest.approx(sum(k * p for k, p in enumerate(chance)), abs=1e-5) and t == pytest.approx(chance[2] + chance[3], abs=1e-5)
+
+
+def test_quality_takes_any_number_of_grades(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, prose(rng, "aa", 20) + " zz" * (i % 50), float(i % 50)) for i in range(300)], "doc_id long, text string, rating double")
+    got = quality.grade(df, df, least=25.0).collect()
+    assert len(got) == 300 and sum(r["selected"] == (r["doc_id"] % 50 >= 25) for r in got) > 270
