@@ -31,7 +31,10 @@ from paravane.llm.common import arrow_map, text_slices
 #: Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math".split())
+#: What a browser does not show as text of the page, or takes from the reader.
+RAW = frozenset("script style template textarea title iframe annotation annotation-xml".split())
+#: Drawings and formulae: everything inside them is part of a line; an HTML block ends one that was left open.
+FOREIGN = frozenset("svg math".split())
 CLOSED_BY = {
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
@@ -57,6 +60,7 @@ HINTS = {
     "form": "form search login contact input".split(),
     "content": "article content main post entry story body text page".split(),
 }
+BLOCKS = frozenset(TAGS) | frozenset("center dd dl dt h4 h5 h6 hr img pre table tbody thead tfoot small big strong b i em u".split()) - frozenset(["head"])
 _HINT = {word: name for name, words in HINTS.items() for word in words}
 _TAG = {t: f"tag={t}" for t in TAGS}
 # possessive, so that no page takes more than one pass over a tag; a tag with a stray quote ends at its first '>'
@@ -81,6 +85,7 @@ def parse(page: str) -> list[Node]:
     root = Node("#root", None)
     nodes, stack, held = [root], [root], []  # held: (text, inside a link) of the open block
     links = [0]
+    foreign = ""  # the drawing or formula that is open
 
     def close_block() -> None:
         if held:
@@ -115,6 +120,14 @@ def parse(page: str) -> list[Node]:
                 break  # an open comment hides the rest
             continue
         tag = name.lower()
+        if foreign and tag in BLOCKS:
+            foreign = ""
+        if tag in FOREIGN or foreign and tag not in RAW:
+            if tag in FOREIGN:
+                foreign = "" if m[1] or (m[3] or "").endswith("/") else foreign or tag
+            if "svg" in (tag, foreign):
+                held.append((" ", False))  # texts of a drawing are apart
+            continue
         if m[1]:
             if tag == "a":
                 links[0] = 0
@@ -164,6 +177,8 @@ def features(node: Node) -> list[str]:
         out = ["element", _TAG.get(node.tag, "tag=other")]
         if node.names:
             out += {f"name={_HINT[w]}" for w in _WORDS.findall(node.names) if w in _HINT}
+        else:
+            out.append("plain" + _TAG.get(node.tag, "tag=other"))
         return out
     text, size = node.text, len(node.text)
     share = node.linked / size
@@ -298,7 +313,11 @@ def labelled_pages(count: int, seed: int = 11) -> list[tuple[str, list[str]]]:
                 out.append(f"<header>{title}</header>" if rng.random() < 0.15 else title)
             for _ in range(rng.choice([1, 2, 4, 8, 15])):
                 kind = rng.random()
-                if kind < 0.72:
+                if kind < 0.04:
+                    out.append(block(rng.choice([paragraph(), sentence(1, 9)]), "p", '<a href="#">%s</a>'))
+                elif kind < 0.06:
+                    out.append(f"<noscript>{block(paragraph(), 'p')}</noscript>")
+                elif kind < 0.72:
                     out.append(block(paragraph() if rng.random() < 0.93 else word()[: rng.randint(1, 9)], "p", rng.choice(["%s", "%s", "<b>%s</b>", "<b>%s<br>", '<a href="#">' + "</a>%s"])))
                 elif kind < 0.82:
                     out.append(block(sentence(2, 6, ""), rng.choice(["h2", "h3"])))
@@ -312,9 +331,10 @@ def labelled_pages(count: int, seed: int = 11) -> list[tuple[str, list[str]]]:
                     out.append(noise(rng.choice(["ad", "share", "notice", "form", "side"])))
             return "".join(out)
 
-        before = "".join(noise(k) for k in ("nav", "header", "ad", "notice") if rng.random() < 0.5)
-        main = rng.choice(["<article>%s</article>", "<article>%s</article>", '<main>%s</main>', '<div class="content">%s</div>', '<div id="post"><div class="entry">%s</div></div>', "<main><article>%s</article></main>", '<div class="story">%s</div>']) % body()
-        after = "".join(noise(k) for k in ("share", "comments", "side", "ad", "form", "notice", "footer") if rng.random() < 0.45)
+        bare = rng.random() < 0.2  # a page of little more than its text
+        before = "".join(noise(k) for k in ("nav", "header", "ad", "notice") if rng.random() < 0.5 and not bare)
+        main = rng.choice(["<div><div>%s</div></div>", "<div>%s</div>", "%s"]) % (block(sentence(1, 12, rng.choice([".", ""])), "p") if rng.random() < 0.6 else body()) if bare else rng.choice(["<article>%s</article>", "<article>%s</article>", '<main>%s</main>', '<div class="content">%s</div>', '<div id="post"><div class="entry">%s</div></div>', "<main><article>%s</article></main>", '<div class="story">%s</div>']) % body()
+        after = "".join(noise(k) for k in ("share", "comments", "side", "ad", "form", "notice", "footer") if rng.random() < 0.45 and not bare)
         pages.append((f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style><script>track()</script></head><body>{before}{main}{after}</body></html>", content))
     return pages
 
@@ -334,7 +354,7 @@ def label(nodes: list[Node], content: list[str]) -> list[int]:
 
 
 @functools.lru_cache(4)
-def trained(count: int = 280, seed: int = 11) -> TreeModel:
+def trained(count: int = 320, seed: int = 11) -> TreeModel:
     """The model fitted to ``count`` generated pages: the same on every call."""
     pages = [(parse(page), content) for page, content in labelled_pages(count, seed)]
     return TreeModel().fit([(nodes, label(nodes, content)) for nodes, content in pages])

@@ -81,3 +81,26 @@ def test_stray_quotes_and_many_open_tags():
     assert text("<p class=it's>a</p><p>b</p>") == ["a", "b"] and text('<a href="x>y">z</a>') == ["z"]
     page = "<a title=\"" * 20_000
     assert len(H.parse(page)) <= 2
+
+
+def test_hand_written_pages(model):
+    """Nothing of an article is dropped by its tag but scripts, styles, forms and the like."""
+    head = "<h1>A head line here</h1><p>First paragraph with enough words in it.</p>"
+    texts = "A head line here\n\nFirst paragraph with enough words in it."
+    inside = {
+        "<p>The law is <math>E=m</math> as stated.</p>": "The law is E=m as stated.",
+        "<p>The law is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> as stated here.</p>": "The law is E=m as stated here.",
+        "<p>A drawing <svg><title>x</title><text>A</text><text>B</text></svg> is in it.</p>": "A drawing A B is in it.",
+        "<p>Before <svg class=x/> and after it.</p>": "Before and after it.",
+        "<p>An open <svg><path d=x> drawing</p><p>The next paragraph is here.</p>": "An open drawing\n\nThe next paragraph is here.",
+        "<p><a href='/x'>A paragraph whose whole text is a link to some page.</a></p>": "A paragraph whose whole text is a link to some page.",
+        "<noscript><p>Shown where there is no script at all.</p></noscript>": "Shown where there is no script at all.",
+        "<p>One &lt; two &amp;&amp; three&nbsp;&#8212; four is <b>bo</b>ld.</p>": "One < two && three — four is bold.",
+        "<script>var p='<p>no</p>';</script><style>p{}</style><p>After the script there is more.</p>": "After the script there is more.",
+        "<form><p>Your name</p><textarea>x</textarea></form><p>After the form there is more.</p>": "After the form there is more.",
+    }
+    for more, want in inside.items():
+        page = f"<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article>{head}{more}</article><footer>&copy; Site</footer></body></html>"
+        assert model.extract(page) == f"{texts}\n\n{want}", more
+    assert model.extract("<html><body><div><div><p>Short one.</p></div></div></body></html>") == "Short one."
+    assert model.extract("<p>Hi</p>") == "Hi"
