@@ -1,25 +1,34 @@
 """Substring dedup: fuzzy repeated passages by collinear chaining.
 
-1. Seeds: of the hashed k-word runs of a document, the smallest of every
-   WINDOW consecutive ones; with a WINDOW of 1, all of them.  Two documents
-   that share WINDOW + k - 1 words in a row share a seed.
-2. Join: every occurrence of a seed is matched with the seed's first
-   occurrence (least document, then place), so a seed that occurs n times
-   gives n - 1 matches, not n * n.  Runs of CONTEXTS words are matched in the
-   same way, so that a passage meets its first copy where its seeds are common:
-   every run of least_words equal words meets its first occurrence.
-3. Chaining: the matches of a document with an earlier one are merged into
+1. Seeds: the hashed runs of SEED_WORDS words whose hash falls into one of
+   SAMPLE classes, and all of those where few words repeat over and over.  The
+   choice depends on the words alone, so two copies keep the same ones.  Four words are as long a run as a passage in which every
+   fifth word is changed still has.
+2. Contexts: a seed carries two 16-bit min-hashes, of the word pairs in the
+   CONTEXT pairs before and after it.
+3. Join: every occurrence of a seed is matched with the first occurrence of the
+   same seed that has the same context on the left, and with the first that has
+   the same on the right; only where there is neither, with the seed's first
+   occurrence.  So a common seed leads to the passage's earlier copy and not to
+   some unrelated document, and a seed that occurs n times gives at most 2 n
+   matches, not n * n.  Of occurrences in one chunk of texts that agree in
+   everything only the first goes to the seed's task; of the others, which come
+   in runs, a few for each run are joined with its matches, and that join splits
+   a skewed key.
+4. Chaining: the matches of a document with an earlier one are merged into
    runs on one diagonal, and runs are chained in order of both texts.  A chain
    earns GAIN a seed and pays for the words skipped on either side; the best
    predecessor comes from a Fenwick tree over places in the earlier text.
-4. Alignment: chains are extended word by word at both ends, and gaps between
-   their runs are aligned by dynamic programming.  A chain that is alike enough
-   is a passage; another is cut at its unalike gaps, and each longest part that
-   is long and alike enough is one.
+5. Alignment: chains are extended at both ends, across changed, inserted and
+   deleted words, and gaps between their runs are aligned by dynamic
+   programming, wide gaps after chaining all their runs of three words.  A chain
+   that is alike enough is a passage; another is cut at its unalike gaps, and
+   each longest part that is long and alike enough is one.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,36 +36,138 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices, without_repeats
 from paravane.llm.words import shingle_hashes, word_hashes
 
-#: Words of a seed, and the consecutive seeds of which the smallest is taken.
-SEED_WORDS, WINDOW = 5, 1
-#: The same of the longer runs that are matched as well: all of 50 words, some of 20.
-CONTEXTS = ((20, 8), (50, 1))
+#: Words of a seed, and one class of how many is kept.
+SEED_WORDS, SAMPLE = 4, 3
+#: Where a word pair comes again within so many words every seed is kept, as a text that repeats few words has few different ones.
+LOOP = 12
+#: Word pairs on either side of a seed that its contexts are made of.
+CONTEXT = 10
+#: Words of which a run inside a chunk sends one seed; with the gap after them still within RUN_GAP.
+THIN = 24
+#: Occurrences of a seed within a chunk: with no other that agrees in everything, the first of several, and the others.
+ALONE, FOLLOWED, REST = 0, 1, 2
 #: What a seed earns; what a skipped word costs on either side; the widest gap inside a run.
 GAIN, GAP_COST, RUN_GAP = 16.0, 0.25, 32
-#: Words beyond a chain's ends that extension may use; the fall in score that ends it; the widest gap that is aligned.
-REACH, DROP, ALIGN = 96, 8, 96
+#: Words beyond a chain's ends that extension may use; the fall in score that ends it; the widest gap that is aligned as a whole.
+REACH, DROP, ALIGN = 64, 8, 96
+#: Words within which extension looks for the next equal run after an insertion or deletion, and that run's length.
+SIDESTEP, FOOTHOLD = 12, 4
+#: Bytes of a word's hash where texts are aligned: two unlike words look alike with a chance of 6e-8.
+BYTES = 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def seeds(texts: list[str], k: int = SEED_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash) of the seeds of all texts."""
+def seeds(texts: list[str], k: int = SEED_WORDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, contexts) of the seeds of all texts.
+
+    Contexts holds the left min-hash in its upper and the right one in its lower 16 bits; 0 means
+    that there is no word pair on that side.
+    """
     words, at, _ = word_hashes(texts)
     runs = shingle_hashes(words, k)
-    if len(runs) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = np.lib.stride_tricks.sliding_window_view(runs, window).argmin(axis=1) + np.arange(len(runs) - window + 1)
-    inside = np.zeros(len(least) + 1, np.int64)
-    first, last = at[:-1], at[1:] - k - window + 1  # windows from first to last lie within the text
-    whole = last >= first
-    np.add.at(inside, first[whole], 1)
-    np.add.at(inside, last[whole] + 1, -1)
-    place = np.unique(least[np.cumsum(inside[:-1]) > 0])
+    pairs = shingle_hashes(words, 2)
+    kept = runs % np.uint64(sample) == 0
+    for d in range(1, min(LOOP, len(runs) - 1) + 1):
+        kept[:-d] |= pairs[: len(runs) - d] == pairs[d : len(runs)]
+    place = np.flatnonzero(kept)
     text = np.searchsorted(at, place, side="right") - 1
-    return text, place - at[text], runs[place]
+    inside = place + k <= at[text + 1]
+    place, text = place[inside], text[inside]
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def least(first: np.ndarray) -> np.ndarray:
+        found = np.full(len(place), none)
+        for j in range(CONTEXT):
+            i = first + j
+            ok = (i >= at[text]) & (i + 2 <= at[text + 1])
+            found = np.minimum(found, np.where(ok, pairs[np.clip(i, 0, max(0, len(pairs) - 1))], none)) if len(pairs) else found
+        return np.where(found == none, 0, 1 + found % np.uint64(0xFFFF)).astype(np.int64)
+
+    return text, place - at[text], runs[place], least(place - CONTEXT) << 16 | least(place + k - 1)
+
+
+def firsts(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each row the first row of equal hash and value."""
+    order = np.lexsort((value, h))  # stable
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (value[order][1:] != value[order][:-1])
+    out = np.empty(len(h), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    return out
+
+
+def ends(doc: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of rows in order of document and place: those that carry the run of rows that follow one document on one diagonal.
+
+    That is the run's last row and one in each THIN words from its first on, near enough for runs to
+    be put together again by RUN_GAP.
+    """
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (doc[first][1:] != doc[first][:-1]) | (np.diff(place - place[first]) != 0) | (np.diff(place) > RUN_GAP)
+    begin = place[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+    part = (place - begin) // THIN
+    out = new.copy()
+    out[1:] |= part[1:] != part[:-1]
+    out[:-1] |= new[1:]
+    out[-1:] = True
+    return out
+
+
+def apart(doc: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows but those that agree in everything with one of the same document a few words before, as in a text that repeats few words over and over.
+
+    Extension from one kept place reaches beyond the next.
+    """
+    order = np.lexsort((place, doc, first))
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc[order]) != 0) | (np.diff(first[order]) != 0)
+    begin = place[order][np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+    part = (place[order] - begin) // (REACH // 2)
+    new[1:] |= part[1:] != part[:-1]
+    out = np.empty(len(doc), bool)
+    out[order] = new
+    return out
+
+
+class Meeting:
+    """Matches of seed occurrences that arrive in order of (hash, document, place).
+
+    Between two lots of rows only the last seed's first occurrences are kept: one for each context
+    value, of which there are 2 * 65536 at most.
+    """
+
+    def __init__(self) -> None:
+        self.held = [np.zeros(0, np.int64)] * 3  # hash, document, place and contexts
+
+    def matches(self, h: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, source, source place, whether a context agrees) of the rows; a first occurrence meets itself.
+
+        A spot is place, contexts and kind, from the upper bits to the lower ones.
+        """
+        old = len(self.held[0])
+        rows = [np.concatenate(z) for z in zip(self.held, (h, doc, spot))]
+        h, doc, spot = rows
+        n = len(h)
+        new = np.ones(n, bool)
+        new[1:] = h[1:] != h[:-1]
+        start = np.flatnonzero(new)
+        first = np.repeat(start, np.diff(start, append=n))
+        alone = -1 - np.arange(n)  # where a text has no words on that side
+        sides = spot >> 18 & 0xFFFF, spot >> 2 & 0xFFFF
+        left, right = (firsts(h, np.where(side, side, alone)) for side in sides)
+        plain = (doc[left] == doc) & (doc[right] == doc) & (doc[first] != doc)
+        fresh = np.arange(n) >= old
+        who = [np.flatnonzero(z & fresh) for z in (sides[0] > 0, (sides[1] > 0) & (left != right), plain)]
+        row = np.concatenate(who)
+        source = np.concatenate([left[who[0]], right[who[1]], first[who[2]]])
+        keep = (h == h[-1]) & ((np.arange(n) == left) | (np.arange(n) == right) | (np.arange(n) == first))
+        self.held = [r[keep] for r in rows]
+        return row - old, doc[source], spot[source] >> 34, np.repeat([True, True, False], [len(w) for w in who])
 
 
 class Fenwick:
@@ -118,6 +229,18 @@ def chains(runs: list[tuple[int, int, int, int, int]]) -> list[list[tuple[int, i
     return out
 
 
+def overlapping(found: list[list[tuple[int, int, int, int, int]]], k: int) -> list[list[list[tuple[int, int, int, int, int]]]]:
+    """Chains dealt into lots that reach over the same words of the document; best first within a lot."""
+    order = sorted(range(len(found)), key=lambda i: found[i][0][0])
+    lots, end = [], 0
+    for i in order:
+        if not lots or found[i][0][0] - REACH > end:
+            lots.append([])
+        lots[-1].append(i)
+        end = max(end, found[i][-1][1] + k + REACH)
+    return [[found[i] for i in sorted(lot)] for lot in lots]
+
+
 def common_words(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """Places of a longest common subsequence of x and y; equal words at both ends are matched first."""
     n = min(len(x), len(y))
@@ -146,10 +269,10 @@ def common_words(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
 
 
 def extend(same: np.ndarray) -> int:
-    """How far to go along a diagonal: to the best score of +1 a match and -2 a mismatch, ended by a fall of DROP."""
+    """How far to go along a diagonal: to the best score of +1 a match and -1 a mismatch, ended by a fall of DROP."""
     if not len(same):
         return 0
-    score = np.cumsum(np.where(same, 1, -2))
+    score = np.cumsum(np.where(same, 1, -1))
     peak = np.maximum(np.maximum.accumulate(score), 0)
     fallen = np.flatnonzero(peak - score > DROP)
     if len(fallen):
@@ -159,32 +282,80 @@ def extend(same: np.ndarray) -> int:
     return int(score.argmax()) + 1
 
 
+def shared_runs(x: np.ndarray, y: np.ndarray, k: int = 3) -> list[tuple[int, int, int, int, int]]:
+    """Runs of shared k-word runs that are unique in x and in y."""
+    u, v = (shingle_hashes(z.astype(np.uint64), k) for z in (x, y))
+    (a, i, n), (b, j, m) = (np.unique(z, return_index=True, return_counts=True) for z in (u, v))
+    _, p, q = np.intersect1d(a[n == 1], b[m == 1], assume_unique=True, return_indices=True)
+    at, source = i[n == 1][p], j[m == 1][q]
+    if not len(at):
+        return []
+    order = np.lexsort((at, at - source))
+    at, source = at[order], source[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at - source) != 0) | (np.diff(at) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    return list(zip(at[first].tolist(), at[last].tolist(), source[first].tolist(), source[last].tolist(), (last - first + 1).tolist()))
+
+
 def fill(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Places of equal words in the gap between two runs; a wide gap is first narrowed from both ends."""
+    """Places of equal words in the gap between two runs; a wide gap is first cut at its own chain of short runs."""
     if max(len(x), len(y)) <= ALIGN:
         return common_words(x, y)
-    n = min(len(x), len(y))
-    left = extend(x[:n] == y[:n])
-    right = extend((x[len(x) - n + left :] == y[len(y) - n + left :])[::-1])
-    u, v = x[left : len(x) - right], y[left : len(y) - right]
-    inner = common_words(u, v) if max(len(u), len(v)) <= ALIGN else []
-    head = [(i, i) for i in np.flatnonzero(x[:left] == y[:left]).tolist()]
-    tail = [(len(x) - right + i, len(y) - right + i) for i in np.flatnonzero(x[len(x) - right :] == y[len(y) - right :]).tolist()]
-    return head + [(left + i, left + j) for i, j in inner] + tail
+    runs = shared_runs(x, y)
+    if not runs:
+        return []
+    out, at_x, at_y = [], 0, 0
+    for a0, a1, b0, b1, _ in chains(runs)[0]:
+        a1, b1 = a1 + 3, b1 + 3
+        skip = max(0, at_x - a0, at_y - b0)  # runs may overlap by some words
+        a0, b0 = a0 + skip, b0 + skip
+        if a0 >= a1:
+            continue
+        if max(a0 - at_x, b0 - at_y) <= ALIGN:
+            out += [(at_x + i, at_y + j) for i, j in common_words(x[at_x:a0], y[at_y:b0])]
+        out += [(a0 + i, b0 + i) for i in range(a1 - a0)]
+        at_x, at_y = a1, b1
+    if max(len(x) - at_x, len(y) - at_y) <= ALIGN:
+        out += [(at_x + i, at_y + j) for i, j in common_words(x[at_x:], y[at_y:])]
+    return out
+
+
+def onward(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of equal words from the starts of x and y on, as far as they stay alike.
+
+    Along the diagonal first; where that ends, on from the nearest equal run of FOOTHOLD words within
+    SIDESTEP words of both.
+    """
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        n = min(len(x) - i, len(y) - j)
+        same = x[i : i + n] == y[j : j + n]
+        n = extend(same)
+        out += [(i + z, j + z) for z in np.flatnonzero(same[:n]).tolist()]
+        i, j = i + n, j + n
+        equal = x[i : i + SIDESTEP, None] == y[None, j : j + SIDESTEP]
+        if min(equal.shape) < FOOTHOLD:
+            break
+        runs = equal[: equal.shape[0] - FOOTHOLD + 1, : equal.shape[1] - FOOTHOLD + 1].copy()
+        for z in range(1, FOOTHOLD):
+            runs &= equal[z : z + runs.shape[0], z : z + runs.shape[1]]
+        at = np.argwhere(runs)
+        if not len(at):
+            break
+        di, dj = at[at.sum(axis=1).argmin()].tolist()
+        i, j = i + di, j + dj
+    return out
 
 
 def align(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int, int, int]], k: int) -> np.ndarray:
     """Places in x and y of the words that match, in order, of a chain over word arrays x and y."""
     a, b = runs[0][0], runs[0][2]
-    back = min(a, b, REACH)
-    left = extend(x[a - back : a][::-1] == y[b - back : b][::-1])
-    at_x, at_y = a - left, b - left
-    out = []
-
-    def diagonal(begin: int, end: int, shift: int) -> None:
-        same = begin + np.flatnonzero(x[begin:end] == y[begin + shift : end + shift])
-        out.append(np.stack([same, same + shift], 1))
-
+    low_x, low_y = max(0, a - REACH), max(0, b - REACH)
+    before = [(a - 1 - i, b - 1 - j) for i, j in onward(x[low_x:a][::-1], y[low_y:b][::-1])][::-1]
+    out = [np.array(before, np.int64).reshape(-1, 2)]
+    at_x, at_y = a, b
     for z, (a0, a1, b0, b1, _) in enumerate(runs):
         if z and a0 > at_x and b0 > at_y:
             found = fill(x[at_x:a0], y[at_y:b0])
@@ -193,11 +364,11 @@ def align(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int, int, int
         begin = max(at_x, a0, a0 + (at_y - b0)) if z else at_x
         end = min(a1 + k, len(x), len(y) - shift)
         begin = min(begin, end)
-        diagonal(begin, end, shift)
+        same = begin + np.flatnonzero(x[begin:end] == y[begin + shift : end + shift])
+        out.append(np.stack([same, same + shift], 1))
         at_x, at_y = max(at_x, end), max(at_y, end + shift)
-    on = min(len(x) - at_x, len(y) - at_y, REACH)
-    right = extend(x[at_x : at_x + on] == y[at_y : at_y + on])
-    diagonal(at_x, at_x + right, at_y - at_x)
+    after = onward(x[at_x : at_x + REACH], y[at_y : at_y + REACH])
+    out.append(np.array(after, np.int64).reshape(-1, 2) + np.array([at_x, at_y]))
     return np.concatenate(out)
 
 
@@ -207,7 +378,7 @@ def split(pairs: np.ndarray, least_words: int, least_alike: float) -> list[tuple
     The whole alignment, if it is alike enough; else its longest part that is,
     and then what is left on both sides of that part in the same way.  A part
     begins and ends with equal words such that no piece at either end scores 0
-    or less at +1 an equal word and -2 another, as in ``extend``.
+    or less at +1 an equal word and -2 another.
     """
     if len(pairs) < least_words * least_alike:
         return []
@@ -251,42 +422,66 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
     """Repeated passages: (doc_id, start_word, n_words, source_id, source_start, source_words, alike).
 
     Each row says that n_words words of a document from start_word on repeat,
-    with a share ``alike`` of equal words, a passage of source_id, the document
-    of smaller id where its seeds occur first.  The first copy of a passage is
-    thus never listed under its own id.  Words are blank-separated and compared
-    with A-Z lower-cased.  Null, empty and short texts repeat nothing; rows of
-    equal id count as one document, rows without an id take no part; repeats
-    inside one document are left alone; other columns are ignored; an empty
-    table gives an empty result.  A seed with very many occurrences is
-    aggregated before it is shuffled and joined as a skewed key.
+    with a share ``alike`` of equal words, a passage of source_id, a document
+    of smaller id; words that repeat several places of a source are listed with
+    the one whose chain scores best.  The first copy of a passage is thus never listed under its
+    own id.  Words are blank-separated and compared with A-Z lower-cased.  Null,
+    empty and short texts repeat nothing; rows of equal id count as one
+    document, rows without an id take no part; repeats inside one document are
+    left alone; other columns are ignored; an empty table gives an empty result.
     """
     k = SEED_WORDS
     docs = keyed_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(without_repeats(batches)):
-            texts = part.column("text").to_pylist()
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            for words, window in ((k, WINDOW), *((max(k, min(n, least_words)), w) for n, w in CONTEXTS)):
-                text, place, h = seeds(texts, words, window)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text], pa.int64()), pa.array(place, pa.int32())], names=["h", "doc_id", "at"])
-
-    sown = arrow_map(docs, sow, "h long, doc_id long, at int")
-    # written out, so that both sides of the join are shuffled for it alone and a hot seed can be split
-    firsts = sown.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("s")).filter("n > 1").select("h", F.col("s.doc_id").alias("source_id"), F.col("s.at").alias("source_at"))
-    firsts = settle(firsts)
-    matches = sown.join(firsts, "h").filter("doc_id <> source_id").select("doc_id", "source_id", "at", "source_at")
+            text, place, h, contexts = seeds(part.column("text").to_pylist())
+            doc = part.column("doc_id").to_numpy(zero_copy_only=False)[text]
+            order = np.lexsort((place, doc))
+            doc, place, h, contexts = doc[order], place[order], h[order].view(np.int64), contexts[order]
+            first = firsts(h, contexts)
+            kind = np.where(doc[first] != doc, REST, ALONE)  # the rest agree in everything with an earlier document of this chunk
+            kind[first[kind == REST]] = FOLLOWED
+            keep = apart(doc, place, first) & ((kind != REST) | ends(doc, place, first))
+            h, doc, place, contexts, kind = (z[keep] for z in (h, doc, place, contexts, kind))
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (h, doc, place << 34 | contexts << 2 | kind)], names=["h", "doc_id", "spot"])
+
+    sown = arrow_map(docs, sow, "h long, doc_id long, spot long")
+    few = sown.filter(f"spot & 3 <> {REST}").repartition("h").sortWithinPartitions("h", "doc_id", "spot")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meeting = Meeting()
+        for batch in batches:
+            h, doc, spot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if len(h):
+                row, source, source_at, sure = meeting.matches(h, doc, spot)
+                for_rest = np.flatnonzero(sure & (spot[row] & 3 == FOLLOWED))
+                own = np.flatnonzero(doc[row] != source)
+                at = np.concatenate([own, for_rest])
+                whose = pa.array(np.arange(len(at)) >= len(own))
+                yield pa.RecordBatch.from_arrays([whose, *(pa.array(z[at], t) for z, t in ((h[row], pa.int64()), (doc[row], pa.int64()), (spot[row], pa.int64()), (source, pa.int64()), (source_at, pa.int32()), (sure, pa.bool_())))], names=["for_rest", "h", "doc_id", "spot", "source_id", "source_at", "sure"])
+
+    # read twice, dropped below; a lost executor's part is computed again
+    met = arrow_map(few, meet, "for_rest boolean, h long, doc_id long, spot long, source_id long, source_at int, sure boolean").persist(StorageLevel.DISK_ONLY)
+    ask = F.expr("spot >> 2 & 4294967295").alias("contexts")
+    # the first of equal occurrences in every chunk met the same sources: one for each side
+    known = met.filter("for_rest").select("h", ask, "source_id", "source_at", "sure").groupBy("h", "contexts").agg(F.collect_set(F.struct("source_id", "source_at", "sure")).alias("sources"))
+    rest = sown.filter(f"spot & 3 = {REST}").select("h", ask, "doc_id", "spot").join(known, ["h", "contexts"]).select("doc_id", "spot", F.inline("sources"))
+    found = ["doc_id", "source_id", F.expr("int(spot >> 34)").alias("at"), "source_at", "sure"]
+    matches = met.filter("NOT for_rest").select(*found).union(rest.select(*found))
     dealt = matches.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "at", "source_at")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def work(rows: list[np.ndarray]) -> pa.RecordBatch:
-            once = np.ones(len(rows[0]), bool)  # tasks may have passed on rows of one id more than once
-            for column in rows:
+            order = np.lexsort((rows[2], rows[2].astype(np.int64) - rows[3], rows[1], rows[0]))
+            rows = [column[order] for column in rows]
+            once = np.ones(len(rows[0]), bool)  # a match by both contexts, or rows of one id that several tasks passed on
+            for column in rows[:4]:
                 once[1:] &= column[1:] == column[:-1]
             once[1:] = ~once[1:]
-            d, s, a, b = (column[once] for column in rows)
+            d, s, a, b, sure = (column[once] for column in rows)
             out = [[], [], [], [], []]
             if len(d):
                 new = np.ones(len(d), bool)
@@ -294,19 +489,23 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(d)) - 1
                 size = last - first + 1
+                trust = np.logical_or.reduceat(sure, first)
                 group = np.ones(len(first), bool)
                 group[1:] = (d[first][1:] != d[first][:-1]) | (s[first][1:] != s[first][:-1])
                 cut = np.append(np.flatnonzero(group), len(first))
                 runs = list(zip(a[first].tolist(), a[last].tolist(), b[first].tolist(), b[last].tolist(), size.tolist()))
                 for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    for found in chains(runs[x:y]):
+                    if y == x + 1 and runs[x][4] == 1 and not trust[x]:
+                        continue  # one seed in unlike contexts
+                    for lot in overlapping(chains(runs[x:y]), k):
                         out[0].append(int(d[first[x]]))
                         out[1].append(int(s[first[x]]))
-                        # only words within reach of the chain are sent on
-                        lows = [max(0, found[0][z] - REACH) for z in (0, 2)]
-                        out[2].append((np.array(found, np.int32) - np.array([lows[0], lows[0], lows[1], lows[1], 0], np.int32)).tobytes())
-                        out[3].append((lows[0], found[-1][1] + k + REACH - lows[0]))
-                        out[4].append((lows[1], found[-1][3] + k + REACH - lows[1]))
+                        # only words within reach of the chains are sent on
+                        spans = [(max(0, min(c[0][z] for c in lot) - REACH), max(c[-1][z + 1] for c in lot) + k + REACH) for z in (0, 2)]
+                        (low, high), (source_low, source_high) = spans
+                        out[2].append(np.array([(n, a0 - low, a1 - low, b0 - source_low, b1 - source_low, m) for n, c in enumerate(lot) for a0, a1, b0, b1, m in c], np.int32).tobytes())
+                        out[3].append((low, high - low))
+                        out[4].append((source_low, source_high - source_low))
             ends = [pa.array([v[z] for v in out[c]], pa.int32()) for c in (3, 4) for z in (0, 1)]
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), *ends], names=["doc_id", "source_id", "runs", "low", "size", "source_low", "source_size"])
 
@@ -324,29 +523,38 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
             yield work(held)
 
     chained = settle(arrow_map(dealt, chain, "doc_id long, source_id long, runs binary, low int, size int, source_low int, source_size int"))
+    met.unpersist()
     ids = fit_to_send(chained.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(without_repeats(batches)):
             words, at, _ = word_hashes(part.column("text").to_pylist())
-            short = (words >> np.uint64(32)).astype(np.uint32)
+            short = (words >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :BYTES]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "words"])
 
-    words = settle(arrow_map(docs.join(ids, "doc_id", "left_semi"), pack, "doc_id long, words binary"))
-    part = lambda low, size: F.col("words").substr(F.col(low) * 4 + 1, F.col(size) * 4)  # noqa: E731  four bytes a word
-    one = chained.join(words, "doc_id").withColumn("x", part("low", "size")).drop("words", "size")
-    both = one.join(words.withColumnRenamed("doc_id", "source_id"), "source_id").withColumn("y", part("source_low", "source_size"))
+    # no column is renamed on either side, so that both joins share one exchange of the words
+    words = arrow_map(docs.join(ids, "doc_id", "left_semi"), pack, "doc_id long, words binary")
+    part = lambda low, size: F.col("w.words").substr(F.col(low) * BYTES + 1, F.col(size) * BYTES)
+    one = chained.alias("c").join(words.alias("w"), F.col("c.doc_id") == F.col("w.doc_id")).select("c.*", part("low", "size").alias("x"))
+    both = one.alias("c").join(words.alias("w"), F.col("c.source_id") == F.col("w.doc_id")).select("c.*", part("source_low", "source_size").alias("y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple] = []
             for d, s, packed, low, source_low, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                runs = [tuple(r) for r in np.frombuffer(packed, np.int32).reshape(-1, 5).tolist()]
-                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                if runs[-1][1] + k > len(u) or runs[-1][3] + k > len(v):
-                    continue  # another row of the same id
-                for a0, a1, b0, b1, alike in split(align(u, v, runs, k), least_words, least_alike):
-                    out.append((d, low + a0, a1 - a0, s, source_low + b0, b1 - b0, alike))
+                u, v = unpacked(x), unpacked(y)
+                done: list[tuple[int, int]] = []
+                for _, lot in itertools.groupby(np.frombuffer(packed, np.int32).reshape(-1, 6).tolist(), key=lambda r: r[0]):
+                    runs = [tuple(r[1:]) for r in lot]
+                    if runs[-1][1] + k > len(u) or runs[-1][3] + k > len(v):
+                        continue  # another row of the same id
+                    low_x, high_x = max(0, runs[0][0] - REACH // 2), min(len(u), runs[-1][1] + k + REACH // 2)
+                    if any(i <= low_x and high_x <= j for i, j in done):
+                        continue  # another place in the source of words that are listed already
+                    for a0, a1, b0, b1, alike in split(align(u, v, runs, k), least_words, least_alike):
+                        if (a0, a1) not in done:
+                            done.append((a0, a1))
+                            out.append((d, low + a0, a1 - a0, s, source_low + b0, b1 - b0, alike))
             columns = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "alike"])
@@ -355,6 +563,13 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
     return found.distinct()
 
 
+def unpacked(words: bytes) -> np.ndarray:
+    """Word hashes of BYTES bytes each as numbers."""
+    out = np.zeros((len(words) // BYTES, 4), np.uint8)
+    out[:, :BYTES] = np.frombuffer(words, np.uint8).reshape(-1, BYTES)
+    return out.view("<u4")[:, 0]
+
+
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans (start, count), nor the blanks that follow them."""
     places = [m.start() for m in WORD.finditer(text)] + [len(text)]

@@ -164,3 +164,47 @@ def test_recall_of_changed_passages(spark):
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(d, d - 1000) for d in sizes}  # all alike between 0.83 and 0.9
     for r in got:
         assert r["alike"] >= 0.8 and abs(r["start_word"] - 45) <= 3 and abs(r["n_words"] - sizes[r["doc_id"]]) <= 6
+
+
+def test_recall_between_least_alike_and_equal(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows, kinds = [], {}
+    for kind in ("changed", "inserted", "deleted"):
+        for every in (5, 6, 7, 8, 10, 12):
+            for _ in range(20):
+                p, q = text(120), []
+                for i, w in enumerate(p):
+                    new = [f"new{rng.randrange(10**6)}"]
+                    q += [w] if i % every != every // 2 else new if kind == "changed" else [w, *new] if kind == "inserted" else []
+                n = len(kinds)
+                kinds[n] = kind, every
+                rows += [(n, " ".join(text(60) + p + text(60))), (10_000 + n, " ".join(text(30) + q + text(90)))]
+    got = S.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["source_id"] == r["doc_id"] - 10_000 for r in got)
+    found = {r["doc_id"] - 10_000: r["n_words"] for r in got}
+    for kind in set(kinds.values()):
+        own = [n for n, k in kinds.items() if k == kind]
+        assert sum(n in found for n in own) >= 0.95 * len(own), kind
+        assert sum(found.get(n, 0) for n in own) >= 85 * len(own), kind
+
+
+def test_gaps_wider_than_an_alignment(spark):
+    rng = random.Random(14)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    x = S.np.array([rng.randrange(10**6) for _ in range(400)], S.np.uint32)
+    y = S.np.concatenate([x[:150], S.np.array([7, 8, 9], S.np.uint32), x[150:390]])
+    assert len(S.fill(x, y)) == 390
+    p = text(700)  # one passage of 700 words with 20 foreign ones in its midst
+    rows = [(1, " ".join(text(30) + p + text(30))), (2, " ".join(text(50) + p[:350] + text(20) + p[350:] + text(9)))]
+    got = S.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["source_id"]) for r in got] == [(2, 1)] and abs(got[0]["n_words"] - 720) <= 2 and abs(got[0]["start_word"] - 50) <= 2
+
+
+def test_texts_that_repeat_a_few_words(spark):
+    rows = [(1, "ab cd " * 100), (2, "x y z " + "ab cd " * 150), (3, "ef " * 90), (4, "q " + "ef " * 200)]
+    got = S.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {}
+    for r in got:
+        covered.setdefault((r["doc_id"], r["source_id"]), set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    assert set(covered) == {(2, 1), (4, 3)} and len(covered[2, 1]) >= 280 and len(covered[4, 3]) >= 180
