@@ -23,7 +23,7 @@ def beta_ratio(a: float, b: float, x: float) -> float:
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     tiny = 1e-300
     value, c, d = 1.0, 1.0, 0.0
-    for step in range(2000):  # modified Lentz
+    for step in range(2000 + int(20 * math.sqrt(a + b))):  # modified Lentz; large parameters need more steps
         m = step // 2
         if step == 0:
             term = 1.0
@@ -70,6 +70,11 @@ def least_detectable_rho(n: int, alpha: float) -> float:
     return t / math.sqrt(n - 2 + t * t)
 
 
+def half_tail(k: int, n: int) -> float:
+    """P(X <= k) for n fair trials."""
+    return 1.0 if k >= n else beta_ratio(n - k, k + 1, 0.5)
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X >= k) for n trials."""
     return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(max(0, k), n + 1))
@@ -83,3 +88,8 @@ def chi2_tail_udf(x: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def spearman_p_udf(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([spearman_p(r, int(k)) for r, k in zip(rho, n)])
+
+
+@F.pandas_udf(DoubleType())
+def half_tail_udf(k: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([half_tail(int(a), int(b)) if b == b and b else 1.0 for a, b in zip(k, n)])

@@ -19,12 +19,12 @@ SEPARATOR = "\x1e"
 
 @F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C: the one text function without a built-in."""
-    return _nfc(text)
+    """Unicode normal form C: the one text function without a built-in.  ASCII texts are not sent to Python."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def collapse_whitespace(text: Column) -> Column:

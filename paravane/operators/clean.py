@@ -33,12 +33,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     """The first row of each key in the given order (``dropDuplicates`` would keep any).
 
     The aggregate form combines before the shuffle, so a key that holds a large share of all rows
-    does not gather its rows in one task, as a window would.
+    does not gather its rows in one task, as a window would.  Rows are sorted and dealt by the key's
+    digest where it holds texts, which may be long.
     """
-    first = [F.col(c) if isinstance(c, str) else c for c in order]
-    rest = [c for c in df.columns if c not in keys]
-    packed = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(first)])).alias("__row"))
-    return packed.select(*keys, "__row.*").select(*df.columns)
+    first = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)])
+    texts = any(dict(df.dtypes)[k] == "string" for k in keys)
+    by = [F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256).alias("__key")] if texts else keys
+    return df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), first).alias("__row")).select("__row.*")
 
 
 def in_band(least: int, most: int, text: str = "x") -> Column:

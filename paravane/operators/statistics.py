@@ -9,19 +9,25 @@ from paravane.functions import special
 from paravane.operators.metrics import discordant
 
 
+#: Terms of the exact tail that are added up one by one; beyond, the incomplete beta function gives it.
+SUMMED = 2_000
+
+
 def exact_p(lost: Column, won: Column) -> Column:
     """Two-sided exact binomial p-value of the discordant counts; 1 if there are none.
 
-    min(1, 2 * sum of C(n, k) / 2**n over k up to the smaller count), summed from
-    logarithms, which do not underflow for large n.
+    min(1, 2 * sum of C(n, k) / 2**n over k up to the smaller count).  Up to SUMMED terms are summed
+    from logarithms, which do not underflow; for larger counts the same tail is the regularised
+    incomplete beta function, so that no row holds a list that grows with the data.
     """
-    n, least = (lost + won).cast("double"), F.least(lost, won)
+    n, least = (lost + won).cast("double"), F.least(lost, won).cast("long")
     start = F.struct((-n * F.lit(0.6931471805599453)).alias("term"), F.lit(0.0).alias("total"))
 
     def add(acc: Column, k: Column) -> Column:
         return F.struct((acc["term"] + F.log((n - k) / (k + 1.0))).alias("term"), (acc["total"] + F.exp(acc["term"])).alias("total"))
 
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least.cast("long")), start, add, lambda acc: acc["total"])
+    summed = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(least, F.lit(SUMMED).cast("long"))), start, add, lambda acc: acc["total"])
+    tail = F.when(least <= SUMMED, summed).otherwise(special.half_tail_udf(least, (lost + won).cast("long")))
     return F.when(lost + won == 0, 1.0).when(lost == won, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * tail))
 
 

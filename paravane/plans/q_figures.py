@@ -149,6 +149,30 @@ def a15_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.summary(found, runs(spark))
 
 
+RUNS_SQL = "'r1' AS model_revision, 'c1' AS config_hash, 'p1' AS prompt_hash"
+POINTS_SQL = f"""WITH {ACCURACY_SQL} SELECT dataset, model_id, {RUNS_SQL}, n, round(ao, 9) AS acc_original, round(ap, 9) AS acc_paraphrase, round(ai, 9) AS acc_idiomatic,
+round(ap - ao, 9) AS delta_paraphrase, round({exact_sql(*LOST_WON['paraphrase'])}, 9) AS delta_paraphrase_p, round(ai - ap, 9) AS delta_idiom, round({exact_sql(*LOST_WON['idiom'])}, 9) AS delta_idiom_p FROM acc"""
+POINTS = [*KEYS, "model_revision", "config_hash", "prompt_hash", "n", "acc_original", "acc_paraphrase", "acc_idiomatic", "delta_paraphrase", "delta_paraphrase_p", "delta_idiom", "delta_idiom_p"]
+
+
+@query(POINTS_SQL)
+def a15_summary_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's columns that do not depend on drawn resamples."""
+    return rounded(a15_summary(spark, sf_dir).select(*POINTS))
+
+
+@query(POINTS_SQL)
+def a16_cross_model_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross-model table's columns that do not depend on drawn resamples."""
+    return rounded(a16_cross_model(spark, sf_dir).select(*POINTS))
+
+
+@query(f"""WITH {CELLS_SQL} SELECT dataset, model_id, {chi2_sql()} > 3.841458820694124 AS test_significant FROM cells""")
+def a19_corrected_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrected test's side of the agreement table, at 0.05."""
+    return statistics.mcnemar_table(cells_of(spark, sf_dir), KEYS).select(*KEYS, (F.col("p_value") < 0.05).alias("test_significant"))
+
+
 @query()
 def a16_cross_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analyze.estimates(cells_of(spark, sf_dir))

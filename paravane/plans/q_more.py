@@ -36,8 +36,12 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="paravane-")
+    """A new folder that driver and executors share; only a local session may go without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="paravane-")
     return f"{root}/rows-{uuid.uuid4().hex}"
 
 

@@ -118,7 +118,7 @@ def p14_sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harness.predictions(spark, sf_dir).select("dataset", "model_id", "id", "variant", "parsed", "parse_status", "correct")
 
 
-@query(r"""WITH a AS (SELECT doc_id, upper(substr(text, 1, 200)) AS s FROM documents),
+@query(r"""WITH a AS (SELECT doc_id, upper(CASE WHEN contains(text, '</think>') THEN substr(text, instr(text, '</think>') + 8) ELSE text END) AS s FROM documents),
 m AS (SELECT doc_id, regexp_extract(s, '(?:^|[^\p{L}\p{N}_])([A-D])(?:$|[^\p{L}\p{N}_])', 1) AS letter FROM a)
 SELECT doc_id, CASE WHEN letter <> '' THEN CAST(ascii(letter) - 65 AS VARCHAR) END AS parsed FROM m""")
 def p16_choice_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

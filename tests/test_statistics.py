@@ -131,3 +131,25 @@ def test_agreement_and_missing(spark):
     a = spark.createDataFrame([("x", 1.0)], "k string, v double")
     b = spark.createDataFrame([("x", 1.0 + 1e-7), ("y", 2.0)], "k string, w double")
     assert align.agreement(a, b, ["k"], {"v": "w"}).first().asDict() == {"n": 1, "v_agrees": True}
+
+
+def test_exact_p_of_large_counts(spark):
+    """Beyond the summed terms: against sums of logarithms, and in bounded memory."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from paravane.operators import statistics as S
+
+    def plain(lost, won):
+        n, k = lost + won, min(lost, won)
+        each = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
+        top = max(each)
+        return min(1.0, 2 * math.exp(top) * math.fsum(math.exp(e - top) for e in each))
+
+    pairs = [(1, 9), (1990, 2100), (2100, 1990), (2500, 2600), (30_000, 30_400), (300_000, 302_000)]
+    df = spark.createDataFrame([*pairs, (0, 0), (7, 7), (10**8, 10**8 + 20_000)], "lost long, won long")
+    got = {(r["lost"], r["won"]): r["p"] for r in df.select("lost", "won", S.exact_p(F.col("lost"), F.col("won")).alias("p")).collect()}
+    for pair in pairs:
+        assert got[pair] == pytest.approx(plain(*pair), rel=1e-6)
+    assert got[0, 0] == got[7, 7] == 1.0 and 0.15 < got[10**8, 10**8 + 20_000] < 0.17  # two-sided normal tail at 1.41
