@@ -22,7 +22,7 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """Components of (a, b) links: (node, component), component the least node reached.
 
     Self-links and repeated links are ignored; nodes without a link do not
@@ -32,7 +32,7 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
-    for _ in range(most_rounds):
+    while True:
         large = _with_least(_both(edges)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _with_least(large)
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
@@ -41,7 +41,5 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-    else:
-        raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -75,6 +75,18 @@ def test_tiles_and_second_round(spark):
     assert sorted(map(tuple, got)) == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("block,seed", [(8, 3), (3, 4)])
+def test_small_blocks_and_a_common_line(spark, monkeypatch, block, seed):
+    """Heavy columns, clusters of many tiles and components that several of them share."""
+    rng = random.Random(seed)
+    line = " ".join(f"longboilerplateword{i}" for i in range(25))
+    rows = [(i, f"{line} {t}" if rng.random() < 0.4 else line if rng.random() < 0.1 else t) for i, t in corpus(seed, 220)]
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "HEAVY_BLOCKS", 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.components(df, 3, 80, 100).collect())) == brute(rows, 3, 80, 100)
+
+
 def test_empty_null_and_repeated(spark):
     schema = "doc_id long, text string"
     assert J.components(spark.createDataFrame([], schema)).count() == 0
