@@ -156,7 +156,7 @@ def find(df: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id
     )
     if items.isEmpty():
         return df.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start_word int, n_words int, similarity double")
-    windows = settle(starts(shared(docs, items)))
+    windows = settle(starts(settle(shared(docs, items))))
 
     held = docs.join(fit_to_send(windows.select("doc_id").distinct()), "doc_id").distinct().select("doc_id", words_of(F.col("text")).alias("words"))
     cut = windows.join(held, "doc_id").select("doc_id", "m", "start_word", F.slice("words", F.col("start_word") + 1, F.col("m")).alias("window")).filter(F.size("window") > 0)
