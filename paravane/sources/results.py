@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paravane import schemas
 from paravane.schemas import VARIANTS
+from paravane.sources.paths import exists
 
 
 class MissingVariant(ValueError):
@@ -24,6 +25,13 @@ def read_results(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(schemas.RESULT).option("multiLine", True).json(list(paths)).withColumn("path", F.col("_metadata.file_path"))
 
 
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """The tasks of one result document, whatever else it holds and without a check; a missing file is an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.option("multiLine", True).json(path).select(F.inline("per_task"))
+
+
 def validated(results: DataFrame) -> DataFrame:
     """The results, or an error at run time for a file or task without all variants."""
     need = F.array(*map(F.lit, VARIANTS))
@@ -45,9 +53,12 @@ def predictions(results: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Published CSV tables; the model is taken from the file name '{model}_{table}.csv'."""
+    """Published CSV tables '{model}_{table}.csv'; the model is what the pattern's '*' stands for in the file name."""
+    before, star, after = pattern.rsplit("/", 1)[-1].partition("*")
     df = spark.read.option("header", True).schema(schema).csv(pattern)
-    return df.withColumn("model_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_[a-z0-9]+(?:_[a-z]+)?\.csv$", 1))
+    name = F.col("_metadata.file_name")
+    model = F.substring(name, F.lit(len(before) + 1), F.length(name) - len(before) - len(after)) if star else F.regexp_extract(name, r"^(.*?)_[a-z0-9]+(?:_[a-z]+)?\.csv$", 1)
+    return df.withColumn("model_id", model)
 
 
 def read_chi2_reports(spark: SparkSession, pattern: str) -> DataFrame:
