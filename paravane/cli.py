@@ -160,8 +160,7 @@ def run_plot_dataset(spark: SparkSession, a: argparse.Namespace) -> None:
         if part.isEmpty():
             continue
         sinks.write_table(part, a.out, name, a.force)
-        bars = [(r["model_id"], r["delta_idiom"], r["delta_idiom_ci_low"], r["delta_idiom_ci_high"]) for r in part.collect()]
-        sinks.atomic_text(f"{a.out}/{name}.html", sinks.bars(name, bars))
+        sinks.atomic_text(f"{a.out}/{name}.html", sinks.dataset_figure(name, [r.asDict() for r in part.collect()]))
 
 
 def run_plot_summary(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -170,6 +169,7 @@ def run_plot_summary(spark: SparkSession, a: argparse.Namespace) -> None:
     for name, part in (("cross_dataset", table), ("cross_dataset_significant", analyze.significant(table))):
         if not part.isEmpty():
             sinks.write_table(part.orderBy(*KEYS), a.out, name, a.force)
+            sinks.atomic_text(f"{a.out}/{name}.html", sinks.facets_figure([r.asDict() for r in part.collect()]))
 
 
 def run_confusion(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -180,9 +180,13 @@ def run_confusion(spark: SparkSession, a: argparse.Namespace) -> None:
     for (ds, model), t in sorted(tests.items()):
         b = boots[ds, model]
         own = cells.filter((F.col("dataset") == ds) & (F.col("model_id") == model))
-        sinks.write_table(metrics.confusion(own, KEYS).drop(*KEYS), f"{a.out}/{ds}/tables", f"{model}_confusion", a.force)
-        sinks.write_table(metrics.sole_cause(own, KEYS).drop(*KEYS), f"{a.out}/{ds}/tables", f"{model}_sole_cause", a.force)
-        sinks.atomic_text(f"{a.out}/{ds}/reports/{model}_chi2_report.md", sinks.verdict_text(t["b"], t["c"], t["chi2"], t["p_value"], b["ci_low"], b["ci_high"]) + "\n")
+        confusion, causes = metrics.confusion(own, KEYS).drop(*KEYS).cache(), metrics.sole_cause(own, KEYS).drop(*KEYS).cache()
+        sinks.write_table(confusion, f"{a.out}/{ds}/tables", f"{model}_confusion", a.force)
+        sinks.write_table(causes, f"{a.out}/{ds}/tables", f"{model}_sole_cause", a.force)
+        sinks.atomic_text(f"{a.out}/{ds}/figures/{model}_confusion.html", sinks.confusion_figure(f"{ds} {model}", [r.asDict() for r in confusion.collect()], [r.asDict() for r in causes.collect()]))
+        sinks.atomic_text(f"{a.out}/{ds}/reports/{model}_chi2_report.md", sinks.confusion_report(f"{ds}: {model}", t["n"], t["b"], t["c"], t["chi2"], t["p_value"], b["ci_low"], b["ci_high"], b["p_value"], a.resamples))
+        for part in (confusion, causes):
+            part.unpersist()
 
 
 def run_naive(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paravane import schemas
-from paravane.schemas import VARIANT_COLUMNS
+from paravane.schemas import VARIANT_COLUMNS, VARIANTS
 from paravane.sources import paths
 from paravane.sources.variants import CSV
 
@@ -176,14 +176,100 @@ def verdict_text(b: int, c: int, chi2: float, p: float, low: float, high: float,
     return f"b = {b}, c = {c}, χ² = {chi2:.3f}, p = {p:.5f}, 95 % interval [{low:g}, {high:g}]: {end}."
 
 
-def bars(title: str, rows: Sequence[tuple[str, float, float, float]], width: int = 640) -> str:
-    """A figure as a small HTML page: a bar with its interval for each (label, point, low, high)."""
+def axis_of(rows: Sequence[tuple[str, float, float, float]]) -> tuple[float, float]:
+    """Ends of an axis that holds all intervals and 0, with a margin of 6 %."""
     low, high = min([0.0, *(r[2] for r in rows)]), max([0.0, *(r[3] for r in rows)])
     pad = 0.06 * (high - low or 1.0)
-    low, high = low - pad, high + pad
+    return low - pad, high + pad
+
+
+def drawing(rows: Sequence[tuple[str, float, float, float]], axis: tuple[float, float], width: int = 640, colours: Sequence[str] = ("#88a",)) -> str:
+    """An SVG of a bar with its interval for each (label, point, low, high)."""
+    low, high = axis
     x = lambda v: width * (v - low) / (high - low)
     parts = []
     for k, (label, point, a, b) in enumerate(rows):
-        y = 24 * k + 12
-        parts.append(f'<rect x="{min(x(0), x(point)):.1f}" y="{y - 7}" width="{abs(x(point) - x(0)):.1f}" height="14" fill="#88a"/><line x1="{x(a):.1f}" x2="{x(b):.1f}" y1="{y}" y2="{y}" stroke="#222"/><text x="{width + 8}" y="{y + 4}">{html.escape(label)}</text>')
-    return f'<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(title)}</title><svg width="{width + 300}" height="{24 * len(rows)}">{"".join(parts)}</svg>\n'
+        y, colour = 24 * k + 12, colours[k % len(colours)]
+        parts.append(f'<rect x="{min(x(0), x(point)):.1f}" y="{y - 7}" width="{abs(x(point) - x(0)):.1f}" height="14" fill="{colour}"/><line x1="{x(a):.1f}" x2="{x(b):.1f}" y1="{y}" y2="{y}" stroke="#222"/><text x="{width + 8}" y="{y + 4}">{html.escape(label)}</text>')
+    return f'<svg width="{width + 300}" height="{24 * len(rows)}">{"".join(parts)}</svg>'
+
+
+def page(title: str, body: str) -> str:
+    return f'<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}\n'
+
+
+def bars(title: str, rows: Sequence[tuple[str, float, float, float]], width: int = 640) -> str:
+    """A figure as a small HTML page: a bar with its interval for each (label, point, low, high)."""
+    return page(title, drawing(rows, axis_of(rows), width))
+
+
+def panels(title: str, parts: dict[str, Sequence[tuple[str, float, float, float]]], shared: bool = False) -> str:
+    """A figure of several panels; with ``shared`` all of them have one axis."""
+    axis = axis_of([r for rows in parts.values() for r in rows]) if shared else None
+    return page(title, "".join(f"<h2>{html.escape(name)}</h2>{drawing(rows, axis or axis_of(rows), 480, ('#88a', '#a86', '#6a8') if name == 'accuracy' else ('#a86', '#6a8'))}" for name, rows in parts.items()))
+
+
+def dataset_figure(dataset: str, table: Sequence[dict]) -> str:
+    """A dataset's models in plotting order: the accuracies of the three variants, and the two chained deltas."""
+    interval = lambda r, label, c: (f"{r['model_id']} {label}", r[c], r[f"{c}_ci_low"], r[f"{c}_ci_high"])
+    accuracy = [interval(r, v, f"acc_{v}") for r in table for v in VARIANTS]
+    deltas = [interval(r, label, c) for r in table for label, c in (("paraphrase - original", "delta_paraphrase"), ("idiomatic - paraphrase", "delta_idiom"))]
+    return panels(dataset, {"accuracy": accuracy, "deltas": deltas})
+
+
+def facets_figure(table: Sequence[dict]) -> str:
+    """The idiom deltas of all datasets side by side, on one axis; models by falling mean delta."""
+    mean: dict[str, list[float]] = {}
+    for r in table:
+        mean.setdefault(r["model_id"], []).append(r["delta_idiom"])
+    order = sorted(mean, key=lambda m: (-sum(mean[m]) / len(mean[m]), m))
+    parts = {}
+    for ds in sorted({r["dataset"] for r in table}):
+        own = {r["model_id"]: r for r in table if r["dataset"] == ds}
+        parts[ds] = [(f"{m} {name}", own[m][c], own[m][f"{c}_ci_low"], own[m][f"{c}_ci_high"]) for m in order if m in own for name, c in (("paraphrase", "delta_paraphrase"), ("idiomatic", "delta_idiom"))]
+    return panels("deltas by dataset", parts, shared=True)
+
+
+def confusion_figure(title: str, cells: Sequence[dict], causes: Sequence[dict]) -> str:
+    """The joint outcomes of a run as a table, and the bars of what alone went wrong."""
+    mark = lambda right: "right" if right else "wrong"
+    lines = "".join(f"<tr>{''.join(f'<td>{mark(r[v])}</td>' for v in VARIANTS)}<td>{r['count']}</td><td>{r['pct']:.2f}</td></tr>" for r in cells)
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in (*VARIANTS, "tasks", "%"))
+    rows = [(f"only {r['variant']}", float(r["pct"]), float(r["pct"]), float(r["pct"])) for r in causes]
+    return page(title, f"<table border=1><tr>{head}</tr>{lines}</table><h2>wrong alone, % of tasks</h2>{drawing(rows, axis_of(rows))}")
+
+
+def confusion_report(title: str, n: int, b: int, c: int, chi2: float, p: float, low: float, high: float, boot_p: float, resamples: int, alpha: float = 0.05) -> str:
+    """The paired comparison of the two rewrites in words."""
+    share = lambda k: f"{100 * k / n:.2f} %" if n else "0 %"
+    more = "idiomatic" if b > c else "paraphrase" if c > b else "neither"
+    return "\n".join(
+        [
+            f"# {title}",
+            "",
+            "## Question",
+            "",
+            "Does the idiomatic version of a task make the model fail where its neutral rewrite does not, more often than the other way round?",
+            f"All {n} aligned tasks count; an output that could not be read counts as wrong.",
+            "",
+            "## Counts",
+            "",
+            markdown(["what alone went wrong", "tasks", "share"], [["idiomatic (b)", b, share(b)], ["paraphrase (c)", c, share(c)]]),
+            f"Larger: {more}. Tasks on which both rewrites agree say nothing about the difference.",
+            "",
+            "## Corrected test",
+            "",
+            f"(|b - c| - 1)² / (b + c) = {chi2:.3f}, one degree of freedom, p = {p:.5f}." if b + c else "No task tells the rewrites apart; p = 1.",
+            f"At {alpha:g} this is {'significant' if p < alpha else 'not significant'}.",
+            "",
+            "## Bootstrap",
+            "",
+            f"b - c = {b - c}; {resamples} resamples of the {n} tasks give a 95 % interval of [{low:g}, {high:g}] and an empirical p of {boot_p:.4f}.",
+            f"The interval {'lies on one side of' if low > 0 or high < 0 else 'holds'} 0.",
+            "",
+            "## Decision",
+            "",
+            verdict_text(b, c, chi2, p, low, high, alpha),
+            "",
+        ]
+    )

@@ -184,6 +184,12 @@ def test_eval_resumes_and_its_result_is_analysed(spark, tmp_path, monkeypatch):
         cli.main(argv)
     cli.main(["analyze", "--results", str(tmp_path / "res"), "--out", str(tmp_path / "out"), "--resamples", "50"])
     assert (tmp_path / "out" / "summary.csv").read_text().count("yi-1.5-6b-chat") == 1
+    for command in (["plot-dataset", "--dataset", "sst2"], ["plot-summary"], ["variant-confusion"], ["report-tables"]):
+        cli.main([*command, "--results", str(tmp_path / "res"), "--out", str(tmp_path / "out"), "--resamples", "50", "--force"])
+    out = tmp_path / "out"
+    assert (out / "sst2_cross_model.html").read_text().count("<svg") == 2 and (out / "cross_dataset.html").read_text().count("<svg") == 1
+    figure, report = (out / "sst2" / "figures" / "yi-1.5-6b-chat_confusion.html").read_text(), (out / "sst2" / "reports" / "yi-1.5-6b-chat_chi2_report.md").read_text()
+    assert figure.count("<tr>") == 9 and "only idiomatic" in figure and all(h in report for h in ("## Question", "## Counts", "## Corrected test", "## Bootstrap", "## Decision"))
     # a checkpoint of another configuration is refused
     stale = evaluate.Checkpoint(spark, store.path, hashes["prompt_hash"], "other")
     evaluate.evaluate(first, evaluate.SENTIMENT, lambda df: inference.predict(df, lambda: lambda chats: ["negative"] * len(chats)), None, stale.record)
