@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -93,10 +94,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Checkpoint files of the work in hand, while ``passing`` collects them.
+_passing: list[list[str]] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _passing:
+        plan = out._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if hasattr(plan, "rdd") else None
+        if file is not None and file.isDefined():
+            _passing[-1].append(file.get())
+    return out
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a table that has been read for the last time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Frames that are settled inside are of no use after it: their files are removed at its end."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for file in _passing.pop():
+            discard(spark, file)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
