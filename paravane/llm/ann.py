@@ -166,22 +166,26 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
 def search(df: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``top`` rows of largest inner product for each query: (query_id, rank, vec_id, score).
 
-    ``is_query`` is a condition on vec_id.  Candidates are all other rows, all
-    of them if there are fewer than ``top``; ties go to the smaller id.
+    ``is_query`` is a condition on vec_id.  Candidates are all other rows whose
+    vector is as long as the query's, all of them if there are fewer than
+    ``top``; ties go to the smaller id.  Each length has an index of its own.
     Vectors that are null, empty, zero or hold a null or non-finite component
-    take no part, nor do those whose length is not the most frequent one (the
-    smaller on ties), nor rows without an id.  Rows equal in id and vector count
-    once; a query id with several vectors asks with the least of them.  Other columns are ignored; an
-    empty table gives an empty result.
+    take no part, nor do rows without an id.  Rows equal in id and vector count
+    once; a query id with several vectors of one length asks with the least of
+    them.  Other columns are ignored; an empty table gives an empty result.
     """
-    spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], out)
-    d, total = lengths[0]
-    rows = rows.filter(F.size("v") == d)
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()  # a row a length
+    found = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for k, (d, total) in enumerate(lengths):
+        part = search_length(rows.filter(F.size("v") == d), is_query, d, total, top)
+        found = found.union(part) if k else part
+    return found
+
+
+def search_length(rows: DataFrame, is_query: str, d: int, total: int, top: int) -> DataFrame:
+    """The search among ``total`` vectors of ``d`` components."""
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toArrow()
     index = Index(matrix(sample.column("v").combine_chunks(), d), total, top)
 

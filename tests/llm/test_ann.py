@@ -45,3 +45,10 @@ def test_small_and_odd(spark):
     got = sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, schema), "vec_id % 20 = 0").collect())
     assert got == [(0, 1, 6, 2.0), (0, 2, 1, 1.0), (0, 3, 20, 1.0), (20, 1, 1, 2.0), (20, 2, 6, 2.0), (20, 3, 0, 1.0)]
     assert ann.search(spark.createDataFrame([], schema), "vec_id % 20 = 0").count() == 0
+
+
+def test_each_length_is_searched(spark):
+    schema = "vec_id long, embedding array<float>"
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 1.0]), (2, [3.0, 0.0]), (20, [1.0, 0.0, 1.0]), (21, [0.0, 0.0, 2.0]), (22, [5.0, 1.0, 0.0]), (40, [1.0])]
+    got = sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, schema), "vec_id % 20 = 0").collect())
+    assert got == [(0, 1, 2, 3.0), (0, 2, 1, 2.0), (20, 1, 22, 5.0), (20, 2, 21, 2.0)]
