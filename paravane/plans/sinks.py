@@ -240,11 +240,13 @@ def confusion_figure(title: str, cells: Sequence[dict], causes: Sequence[dict])
 
 
 def confusion_report(title: str, n: int, b: int, c: int, chi2: float, p: float, low: float, high: float, boot_p: float, resamples: int, alpha: float = 0.05) -> str:
-    """The paired comparison of the two rewrites in words."""
+    """The paired comparison of the two rewrites in words: the verdict, then how it came about."""
     share = lambda k: f"{100 * k / n:.2f} %" if n else "0 %"
     more = "idiomatic" if b > c else "paraphrase" if c > b else "neither"
     return "\n".join(
         [
+            verdict_text(b, c, chi2, p, low, high, alpha),
+            "",
             f"# {title}",
             "",
             "## Question",
@@ -269,7 +271,7 @@ def confusion_report(title: str, n: int, b: int, c: int, chi2: float, p: float,
             "",
             "## Decision",
             "",
-            verdict_text(b, c, chi2, p, low, high, alpha),
+            "A difference is called significant only if the test and the interval both call it so; otherwise the verdict is that none was shown.",
             "",
         ]
     )

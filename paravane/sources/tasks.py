@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paravane.functions import text as T
@@ -17,18 +17,12 @@ def read_indexed(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table with ``row_idx``: the contiguous place of each row in file order.
 
     The place is the row's index inside its file plus the rows of the files before it; only one
-    count per file is gathered, no row is moved.
+    count per file is gathered, no row is moved unless the files are too many to be sent.
     """
     df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    sizes = df.groupBy("__file").agg(F.count("*").alias("n")).orderBy("__file").collect()
-    offsets, at = [], 0
-    for r in sizes:
-        offsets.append((r["__file"], at))
-        at += r["n"]
-    if not offsets:
-        return df.withColumn("row_idx", F.lit(0).cast("long")).drop("__file", "__row")
-    place = spark.createDataFrame(offsets, "__file string, __offset long")
-    return df.join(F.broadcast(place), "__file").withColumn("row_idx", F.col("__offset") + F.col("__row")).drop("__file", "__row", "__offset")
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # over a row a file
+    place = df.groupBy("__file").agg(F.count("*").alias("n")).select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    return df.join(place, "__file").withColumn("row_idx", F.col("__offset") + F.col("__row")).drop("__file", "__row", "__offset")
 
 
 def in_order(splits: list[DataFrame]) -> DataFrame:
