@@ -261,14 +261,14 @@ class Grammar:
         return [1.0, best, math.log1p(sum(scores) - best), float(bool(scores))]
 
 
-def terms(text: str) -> set[tuple[str, bool]]:
-    """Words of a text, and their stems (marked True)."""
-    found = set()
-    for w in set(WORD.findall(text.lower())):
-        if w[0].isalpha():
-            found.add((w, False))
-            found.update((w[:n], True) for n in STEMS if n < len(w))
-    return found
+#: Marks a stem among terms.
+STEM = "\0"
+
+
+def terms(text: str) -> set[str]:
+    """Words of a text, and their stems, marked."""
+    words = [w for w in set(WORD.findall(text.lower())) if w[0].isalpha()]
+    return {*words, *(STEM + w[:n] for w in words for n in STEMS if n < len(w))}
 
 
 def half_of(text: str) -> int:
@@ -282,20 +282,20 @@ def count_terms(sample: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bool], list[int]] = {}
+        held = [Counter() for _ in range(4)]
 
         def batch() -> pa.RecordBatch:
-            keys, counts = list(held), list(zip(*held.values())) or [()] * 4
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array(c, pa.int64()) for c in counts)]
+            keys = list(set().union(*held))
+            columns = [pa.array([k.lstrip(STEM) for k in keys], pa.string()), pa.array([k.startswith(STEM) for k in keys], pa.bool_()), *(pa.array([c[k] for k in keys], pa.int64()) for c in held)]
             return pa.RecordBatch.from_arrays(columns, names=["term", "stem", "c00", "c01", "c10", "c11"])
 
         for part in text_slices(batches):
             for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                for term in {*terms(text), ("", False)}:
-                    held.setdefault(term, [0, 0, 0, 0])[2 * half_of(text) + label] += 1
-            if len(held) > 500_000:
+                held[2 * half_of(text) + label].update({*terms(text), ""})
+            if sum(map(len, held)) > 500_000:
                 yield batch()
-                held.clear()
+                for c in held:
+                    c.clear()
         yield batch()
 
     every = arrow_map(sample, run, "term string, stem boolean, c00 long, c01 long, c10 long, c11 long")
