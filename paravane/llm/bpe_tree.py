@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -174,18 +175,28 @@ def codec(data: bytes, pattern: str) -> TreeBPE:
     return TreeBPE(read_ranks(data), pattern)
 
 
+def checked_pattern(pattern: str) -> str:
+    """The pattern, if LOOK is proved for its kind: no assertion but that white space is not followed by anything else."""
+    rest = pattern.replace(r"(?!\S)", "")
+    if re.search(r"\(\?(?:[=!]|<[=!])|\\[bBAzZG]|(?<![\[\\])[\^$]", rest):
+        raise ValueError("a split pattern that looks around, other than by (?!\\S), is not supported")
+    return pattern
+
+
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
     """Encode each whole text and decode the identifiers again.
 
     Returns (doc_id, token_ids binary, decoded binary): token_ids holds the
     identifiers as little-endian unsigned 32-bit integers, decoded the bytes
-    they stand for.  A null or empty text gives empty binaries; repeated rows
+    they stand for.  A pattern may look at what follows by ``(?!\\S)`` only, as
+    the usual split patterns do; another is refused.  A null or empty text gives empty binaries; repeated rows
     are encoded each; other input columns are ignored; an empty table gives an
     empty result.  With text_col None the key is a struct that holds the text.
     The rank file is read on the driver and broadcast (its size
     is that of a vocabulary and does not grow with the data).  Rows are
     independent: no shuffle, and a lost executor costs only its tasks.
     """
+    checked_pattern(pattern)
     source = keyed_text(df, id_col, text_col)
     with open(ranks_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())

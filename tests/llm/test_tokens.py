@@ -65,3 +65,15 @@ def test_frames(spark):
     assert counts[:2] == [(1, 0, 0), (2, 0, 0)] and counts[2][1] == 12 and counts[2] == counts[3]
     assert count_tokens(df.limit(0), P.path("byte_bpe_50k.json")).count() == 0
     assert encode_decode(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_patterns_that_look_around_are_refused():
+    import public_tokenizers
+    import pytest
+
+    from paravane.llm.bpe_tree import checked_pattern
+
+    assert checked_pattern(public_tokenizers.PATTERN) == public_tokenizers.PATTERN
+    for bad in (r"\w+(?=x)|.", r"(?<=a)b|.", r"\bword|.", r"^a|.", r"a$|.", r"x(?!y)|."):
+        with pytest.raises(ValueError):
+            checked_pattern(bad)
