@@ -86,7 +86,7 @@ def run_augment(spark: SparkSession, a: argparse.Namespace) -> None:
         judges = {name: inference.judge(Path(settings.prompt).read_text()) for name in inference.CHECKS[variant] if (settings := getattr(cfg.validators, name)) and getattr(settings, "prompt", None)}
         rewrite = functools.partial(inference.rewrite, make_client=make, judges=judges, temperature=cfg.decoding.temperature, max_output_tokens=cfg.decoding.max_output_tokens, max_attempts=cfg.retry.max_attempts, backoff=cfg.retry.backoff_seconds, judge_temperature=cfg.judge.temperature, judge_tokens=cfg.judge.max_output_tokens)
         cache = variants.read_cache(spark, cfg.cache.dir) if cfg.cache.enabled and paths.exists(spark, cfg.cache.dir) else None
-        builds[variant] = build = augment.build_variant(source, variant, template, model, rewrite, progress.kept(), progress.skipped(), cache, functools.partial(progress.record, chunks=a.chunks))
+        builds[variant] = build = augment.build_variant(source, variant, template, model, rewrite, progress.kept(), progress.skipped(), cache, progress.record, a.chunks)
         bought = build.session.filter("status = 'ok' AND NOT cached").withColumnRenamed("x", "response")
         if cfg.cache.enabled and not bought.isEmpty():
             sinks.append_cache(bought, cfg.cache.dir)
@@ -125,7 +125,7 @@ def run_eval(spark: SparkSession, a: argparse.Namespace) -> None:
         rows_of[v] = rows = variants.first_rows(variants.read_rows(spark, f"{a.rows}/{a.dataset}/{v}"), a.limit, v)
         store = evaluate.Checkpoint(spark, f"{check}/{v}", **hashes)
         began = time.monotonic()
-        predicted = evaluate.evaluate(rows, evaluator, lambda df: inference.predict(df, load, cfg.batch.size), store.read(), functools.partial(store.record, chunks=a.chunks))
+        predicted = evaluate.evaluate(rows, evaluator, lambda df: inference.predict(df, load, cfg.batch.size), store.read(), store.record, a.chunks)
         predicted.withColumn("model_id", F.lit(cfg.model)).withColumn("dataset", F.lit(a.dataset)).write.mode("overwrite").parquet(f"{target}/{v}")
         spent[v] = store.add_time(time.monotonic() - began)
         evaluate.run_metrics(spark.read.parquet(f"{target}/{v}")).show(truncate=False)

@@ -54,13 +54,9 @@ class Progress:
     def _append(self, outcome: DataFrame, session: str) -> None:
         append_checkpoint(outcome.select(*[c for c in PROGRESS.names if c != "session"], F.lit(session).alias("session")), self.path)
 
-    def record(self, outcome: DataFrame, chunks: int = 1) -> DataFrame:
-        """The outcomes, appended in ``chunks`` jobs and read back; after a transient failure no further job asks."""
-        for n in range(chunks):
-            part = outcome if chunks == 1 else outcome.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == n)
-            self._append(part, self.session)
-            if not self.of_session().filter("status = 'transient'").isEmpty():
-                break
+    def record(self, outcome: DataFrame) -> DataFrame:
+        """The outcomes, appended to those of this session, and all of these read back."""
+        self._append(outcome, self.session)
         return self.of_session()
 
     def of_session(self) -> DataFrame:
@@ -86,13 +82,15 @@ def judge_prompt(template: str) -> Column:
     return prompts.fill(template, original=F.col("x"), rewritten=F.col("rewritten"), y=F.col("y"), context=prompts.render_context(meta))
 
 
-def build_variant(tasks: DataFrame, variant: str, template: str, augmenter_model: str, rewrite: Callable[[DataFrame], DataFrame], existing: DataFrame | None = None, skips: DataFrame | None = None, cache: DataFrame | None = None, record: Callable[[DataFrame], DataFrame] = stored) -> Build:
+def build_variant(tasks: DataFrame, variant: str, template: str, augmenter_model: str, rewrite: Callable[[DataFrame], DataFrame], existing: DataFrame | None = None, skips: DataFrame | None = None, cache: DataFrame | None = None, record: Callable[[DataFrame], DataFrame] = stored, chunks: int = 1) -> Build:
     """One variant of the tasks.
 
     Rows that ``existing`` holds for the same model and prompt are kept, skipped ids are not tried
     again, rows that ``cache`` answers are taken from there, and the rest goes through ``rewrite``
     ((id, prompt, x, y, meta, context) -> (id, rewritten, status, failing, attempts, validators)).
-    ``record`` stores the session's outcomes and reads them back, so that no call is made twice.
+    ``record`` stores outcomes and reads back all of this session, so that no call is made twice;
+    with ``chunks`` it does so after each part of the rows, and no further part is asked for after a
+    transient failure.
     Rows of another model or prompt are stale, and their skips with them.  A transient failure
     pauses the variant: its row is neither kept nor skipped.
     """
@@ -107,17 +105,21 @@ def build_variant(tasks: DataFrame, variant: str, template: str, augmenter_model
     if kept is None and known is not None:
         todo = align.remaining(tasks, known)
     todo = todo.select("id", "x", "y", "meta", F.lit(variant).alias("variant"), F.lit(augmenter_model).alias("augmenter_model"), F.lit(digest).alias("prompt_hash"))
-    hits = None
+    ask, answered = todo, None
     if cache is not None:
         looked_up = align.with_cache(todo, cache.filter("validators IS NOT NULL"), carry=["validators"])
-        hits = looked_up.filter("hit").select("id", F.col("cached").alias("rewritten"), F.lit("ok").alias("status"), F.array().cast("array<string>").alias("failing"), F.lit(0).alias("attempts"), "validators", F.lit(True).alias("cached"))
+        answered = looked_up.filter("hit").select("id", F.col("cached").alias("rewritten"), F.lit("ok").alias("status"), F.array().cast("array<string>").alias("failing"), F.lit(0).alias("attempts"), "validators", F.lit(True).alias("cached"))
         ask = looked_up.filter("NOT hit")
-    else:
-        ask = todo
     context = prompts.render_context(prompts.parse_meta(F.col("meta")))
-    answers = rewrite(ask.select("id", augment_prompt(template).alias("prompt"), "x", "y", "meta", context.alias("context"))).withColumn("cached", F.lit(False))
-    found = answers if hits is None else answers.unionByName(hits)
-    outcome = record(found.join(todo.drop("x"), "id").withColumnRenamed("rewritten", "x"))
+    asked = ask.select("id", augment_prompt(template).alias("prompt"), "x", "y", "meta", context.alias("context"))
+    for n in range(chunks):
+        # rows are chosen before they are asked for: a filter on the answers would ask for all of them
+        found = rewrite(asked if chunks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == n)).withColumn("cached", F.lit(False))
+        if answered is not None and not n:
+            found = found.unionByName(answered)
+        outcome = record(found.join(todo.drop("x"), "id").withColumnRenamed("rewritten", "x"))
+        if not outcome.filter("status = 'transient'").isEmpty():
+            break
     rows = outcome.filter("status = 'ok'").select(*VARIANT_COLUMNS)
     columns = ["id", F.lit(variant).alias("variant"), F.lit("validation_failed").alias("reason"), "failing", "attempts"]
     failed = outcome.filter("status = 'skip'").select(*columns)

@@ -46,16 +46,19 @@ RELATION = register_evaluator("mnli")(Evaluator(prompts.PAIR_SYSTEM, prompts.PAI
 SCORED = ("id", "variant", "y", "raw", "parsed", "parse_status", "correct", "row_idx")
 
 
-def evaluate(rows: DataFrame, evaluator: Evaluator, infer: Callable[[DataFrame], DataFrame], done: DataFrame | None = None, record: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def evaluate(rows: DataFrame, evaluator: Evaluator, infer: Callable[[DataFrame], DataFrame], done: DataFrame | None = None, record: Callable[[DataFrame], DataFrame] | None = None, chunks: int = 1) -> DataFrame:
     """Scored predictions for variant rows: (id, variant, y, raw, parsed, parse_status, correct, row_idx).
 
     ``infer`` adds ``raw``.  Rows that ``done`` holds already are not sent again, but merged in;
-    ``record`` stores the new ones and reads them back.
+    ``record`` stores new ones, after each of ``chunks`` parts, and reads back all of this session.
     """
     keys = ["id", "variant"]
     todo = rows if done is None else rows.join(done.select(*keys), keys, "left_anti")
-    new = evaluator.scored(infer(evaluator.formatted(todo))).select(*SCORED)
-    new = record(new) if record else new
+    for n in range(chunks if record else 1):
+        # rows are chosen before inference: a filter on its results would run it on all of them
+        part = todo if chunks == 1 or not record else todo.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == n)
+        new = evaluator.scored(infer(evaluator.formatted(part))).select(*SCORED)
+        new = record(new) if record else new
     return new if done is None else new.unionByName(done.join(rows.select(*keys), keys, "left_semi").select(*SCORED))
 
 
@@ -63,7 +66,7 @@ class Checkpoint:
     """Scored rows of an unfinished run, appended job by job; one of another prompt or configuration is refused."""
 
     def __init__(self, spark: SparkSession, path: str, prompt_hash: str, config_hash: str):
-        self.spark, self.path, self.hashes = spark, path, (prompt_hash, config_hash)
+        self.spark, self.path, self.hashes, self.session = spark, path, (prompt_hash, config_hash), uuid.uuid4().hex
 
     def read(self) -> DataFrame | None:
         """What earlier sessions scored, or None."""
@@ -73,12 +76,10 @@ class Checkpoint:
         kept = compatible(self.spark.read.parquet(f"{self.path}/rows"), *self.hashes).select(*SCORED)
         return kept.checkpoint()
 
-    def record(self, scored: DataFrame, chunks: int = 1) -> DataFrame:
-        session = uuid.uuid4().hex
-        for n in range(chunks):
-            part = scored if chunks == 1 else scored.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == n)
-            part.withColumns({"prompt_hash": F.lit(self.hashes[0]), "config_hash": F.lit(self.hashes[1]), "session": F.lit(session)}).write.mode("append").parquet(f"{self.path}/rows")
-        return self.spark.read.parquet(f"{self.path}/rows").filter(F.col("session") == session).select(*SCORED)
+    def record(self, scored: DataFrame) -> DataFrame:
+        """Scored rows, appended to those of this session, and all of these read back."""
+        scored.withColumns({"prompt_hash": F.lit(self.hashes[0]), "config_hash": F.lit(self.hashes[1]), "session": F.lit(self.session)}).write.mode("append").parquet(f"{self.path}/rows")
+        return self.spark.read.parquet(f"{self.path}/rows").filter(F.col("session") == self.session).select(*SCORED)
 
     def add_time(self, seconds: float) -> float:
         """The seconds of this session and of those before it."""

@@ -54,7 +54,7 @@ def job(spark, tmp_path, monkeypatch):
     (tmp_path / "judge.txt").write_text("judge {original} / {rewritten} / {context}")
     monkeypatch.setattr(cli, "named", lambda reference, folder=str(tmp_path): lambda: Fake(folder))
 
-    def run(model="m1", expect_pause=False, cache=True):
+    def run(model="m1", expect_pause=False, cache=True, chunks=1):
         calls = tmp_path / CALLS
         calls.write_text("")
         (tmp_path / "c.yaml").write_text(
@@ -62,7 +62,7 @@ def job(spark, tmp_path, monkeypatch):
             f"prompts: {{paraphrase: {tmp_path}/paraphrase.txt, idiomatic: {tmp_path}/idiomatic.txt}}\n"
             f"validators: {{label_preservation: {{prompt: {tmp_path}/judge.txt}}}}\ncache: {{enabled: {str(cache).lower()}, dir: {tmp_path}/cache}}\n"
         )
-        argv = ["augment", "--config", str(tmp_path / "c.yaml"), "--rows", str(tmp_path / "rows"), "--client", "x:y", "--chunks", "1"]
+        argv = ["augment", "--config", str(tmp_path / "c.yaml"), "--rows", str(tmp_path / "rows"), "--client", "x:y", "--chunks", str(chunks)]
         if expect_pause:
             with pytest.raises(SystemExit, match="paused"):
                 cli.main(argv)
@@ -100,6 +100,11 @@ def test_augment_pause_resume_nothing_to_do_and_other_model(spark, job):
     assert rows.filter("id = '1'").first()["x"] == "first rewritten"
 
 
+def test_augment_in_chunks_asks_once_a_row(spark, job):
+    assert sorted(job(chunks=3)) == sorted(f"{v}:{t}:1" for v in ("paraphrase", "idiomatic") for t in ("first", "second", "third", "fourth", "fifth"))
+    assert job.ids("paraphrase") == list("12345") and job(chunks=2) == []
+
+
 def test_augment_skips_are_not_tried_again(spark, job):
     (job.folder / "reject").touch()
     assert len(job()) == 2 * (4 + 2)
@@ -169,7 +174,7 @@ def test_eval_resumes_and_its_result_is_analysed(spark, tmp_path, monkeypatch):
         sinks.write_rows(spark.createDataFrame(data, ", ".join(f"{c} string" for c in schemas.VARIANT_COLUMNS)).coalesce(1), str(rows / "sst2" / v))
     monkeypatch.setattr(cli, "named", lambda reference, folder=str(tmp_path): lambda: Model(folder))
     (tmp_path / "e.yaml").write_text("model: yi-1.5-6b-chat\n")
-    argv = ["eval", "--config", str(tmp_path / "e.yaml"), "--dataset", "sst2", "--rows", str(rows), "--results", str(tmp_path / "res"), "--client", "x:y", "--chunks", "1"]
+    argv = ["eval", "--config", str(tmp_path / "e.yaml"), "--dataset", "sst2", "--rows", str(rows), "--results", str(tmp_path / "res"), "--client", "x:y", "--chunks", "3"]
     # a session that ended after half of the first variant
     cfg = config.load(config.EvalConfig, tmp_path / "e.yaml", seed=0)
     hashes = {"prompt_hash": spark.range(1).select(evaluate.SENTIMENT.prompt_hash().alias("h")).first()["h"], "config_hash": evaluate.config_hash(cfg.model_dump())}
