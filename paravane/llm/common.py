@@ -117,16 +117,28 @@ def discard(spark: SparkSession, folder: str) -> None:
 
 
 @contextlib.contextmanager
-def passing(spark: SparkSession) -> Iterator[None]:
-    """Frames that are settled inside are of no use after it: their files are removed at its end."""
-    _passing.append([])
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Frames that are settled inside are of no use after it: their files are removed at its end.
+
+    What ``retain`` takes off the list that it yields stays.
+    """
+    files: list[str] = []
+    _passing.append(files)
     try:
-        yield
+        yield files
     finally:
-        for file in _passing.pop():
+        _passing.pop()
+        for file in files:
             discard(spark, file)
 
 
+def retain(files: list[str]) -> None:
+    """Keep the frames settled so far beyond the innermost ``passing``, whose list this is."""
+    if len(_passing) > 1:
+        _passing[-2].extend(files)
+    files.clear()
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -38,16 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices, without_repeats
+from paravane.llm.common import arrow_map, fit_to_send, keyed_text, passing, retain, settle, slices, text_slices, without_repeats
 from paravane.llm.components import connected
 from paravane.llm.words import mix, shingle_sets
 
 #: Documents of a tile's side, bytes of its rows, and bits of a sketch at most.
 BLOCK, BLOCK_BYTES, MOST_BITS = 4096, 32 << 20, 4096
-#: A column is heavy in more prefixes than this many blocks hold, or this share of all prefix entries (which bounds the heavy columns).
-HEAVY_BLOCKS, HEAVY_SHARE = 4, 100_000
+#: A column in more prefixes than this many blocks hold, or than this share of all rows, comes last;
+#: in any case one above this share of all prefix entries, which bounds the number of such columns.
+HEAVY_BLOCKS, HEAVY_ROWS, HEAVY_SHARE = 4, 32, 100_000
 #: Times that prefixes are made anew with the columns last that were found to be heavy.
-REORDERINGS = 3
+REORDERINGS = 1
 #: Rows by which a component of a large cluster is compared first.
 SPEAKERS = 4
 #: Bits of a sketch made from a full row, for each gram of the difference that still links.
@@ -310,17 +311,20 @@ def components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     docs = keyed_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     last: list[int] = []
     for turn in range(REORDERINGS + 1):
-        every = settle(profile(docs, k, num, den, last))
-        classes = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "grams", "sketch")).alias("r"))
-        classes = settle(classes.select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), "r.grams", "r.sketch"))
-        single = classes.select(F.explode("grams").alias("gram"), "rep", "n")
-        shared = settle(single.groupBy("gram").agg(F.count("*").alias("cnt")).filter("cnt > 1"))
-        total = shared.agg(F.sum("cnt").alias("total")).first()["total"] or 0
-        most = max(HEAVY_BLOCKS * BLOCK, total // HEAVY_SHARE)  # no more than HEAVY_SHARE columns are above it
-        heavy = {r["gram"] for r in shared.filter(F.col("cnt") > most).select("gram").collect()} - set(last)
-        if not heavy or turn == REORDERINGS:
-            break
-        last += sorted(heavy)
+        with passing(df.sparkSession) as files:
+            every = settle(profile(docs, k, num, den, last))
+            classes = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "grams", "sketch")).alias("r"))
+            classes = settle(classes.select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), "r.grams", "r.sketch"))
+            single = classes.select(F.explode("grams").alias("gram"), "rep", "n")
+            shared = settle(single.groupBy("gram").agg(F.count("*").alias("cnt")).filter("cnt > 1"))
+            total = shared.agg(F.sum("cnt").alias("total")).first()["total"] or 0
+            most = max(HEAVY_BLOCKS * BLOCK, total // HEAVY_SHARE)  # no more than HEAVY_SHARE columns are above it
+            late = max(min(most, classes.count() // HEAVY_ROWS), total // HEAVY_SHARE, 2)
+            heavy = [r["gram"] for r in shared.filter(F.col("cnt") > late).select("gram").collect()] if turn < REORDERINGS else []
+            if not heavy:
+                retain(files)
+                break
+            last += heavy
     entries = settle(single.join(shared, "gram").select("gram", F.col("cnt"), F.expr(f"int(ceil(cnt / {BLOCK}))").alias("tiles"), "rep", "n"))
     with_sketch = entries.filter(F.col("cnt") <= most).join(classes.select("rep", "n", F.col("sketch").alias("payload")), ["rep", "n"]).withColumn("component", F.col("rep"))
     candidates = forests(tiled(with_sketch, "gram"), "gram", num, den, exact=False)
