@@ -18,7 +18,8 @@
 4. Chaining: the matches of a document with an earlier one are merged into
    runs on one diagonal, and runs are chained in order of both texts.  A chain
    earns GAIN a seed and pays for the words skipped on either side; the best
-   predecessor comes from a Fenwick tree over places in the earlier text.
+   predecessor comes from a Fenwick tree over places in the earlier text.  A
+   single seed is a chain too, whatever its contexts: alignment decides.
 5. Alignment: chains are extended at both ends, across changed, inserted and
    deleted words, and gaps between their runs are aligned by dynamic
    programming, wide gaps after chaining all their runs of three words.  A chain
@@ -467,7 +468,7 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
     # the first of equal occurrences in every chunk met the same sources: one for each side
     known = met.filter("for_rest").select("h", ask, "source_id", "source_at", "sure").groupBy("h", "contexts").agg(F.collect_set(F.struct("source_id", "source_at", "sure")).alias("sources"))
     rest = sown.filter(f"spot & 3 = {REST}").select("h", ask, "doc_id", "spot").join(known, ["h", "contexts"]).select("doc_id", "spot", F.inline("sources"))
-    found = ["doc_id", "source_id", F.expr("int(spot >> 34)").alias("at"), "source_at", "sure"]
+    found = ["doc_id", "source_id", F.expr("int(spot >> 34)").alias("at"), "source_at"]
     matches = met.filter("NOT for_rest").select(*found).union(rest.select(*found))
     dealt = matches.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "at", "source_at")
 
@@ -478,10 +479,10 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
             order = np.lexsort((rows[2], rows[2].astype(np.int64) - rows[3], rows[1], rows[0]))
             rows = [column[order] for column in rows]
             once = np.ones(len(rows[0]), bool)  # a match by both contexts, or rows of one id that several tasks passed on
-            for column in rows[:4]:
+            for column in rows:
                 once[1:] &= column[1:] == column[:-1]
             once[1:] = ~once[1:]
-            d, s, a, b, sure = (column[once] for column in rows)
+            d, s, a, b = (column[once] for column in rows)
             out = [[], [], [], [], []]
             if len(d):
                 new = np.ones(len(d), bool)
@@ -489,14 +490,11 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(d)) - 1
                 size = last - first + 1
-                trust = np.logical_or.reduceat(sure, first)
                 group = np.ones(len(first), bool)
                 group[1:] = (d[first][1:] != d[first][:-1]) | (s[first][1:] != s[first][:-1])
                 cut = np.append(np.flatnonzero(group), len(first))
                 runs = list(zip(a[first].tolist(), a[last].tolist(), b[first].tolist(), b[last].tolist(), size.tolist()))
                 for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    if y == x + 1 and runs[x][4] == 1 and not trust[x]:
-                        continue  # one seed in unlike contexts
                     for lot in overlapping(chains(runs[x:y]), k):
                         out[0].append(int(d[first[x]]))
                         out[1].append(int(s[first[x]]))

@@ -208,3 +208,21 @@ def test_texts_that_repeat_a_few_words(spark):
     for r in got:
         covered.setdefault((r["doc_id"], r["source_id"]), set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
     assert set(covered) == {(2, 1), (4, 3)} and len(covered[2, 1]) >= 280 and len(covered[4, 3]) >= 180
+
+
+def test_one_seed_in_unlike_contexts(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, n = [], 0
+    while n < 12:
+        p = text(50)
+        changed = [text(1)[0] if i % 5 == 2 else w for i, w in enumerate(p)]
+        one, other = (" ".join(text(40) + words + text(40)) for words in (p, changed))
+        which, _, h, contexts = S.seeds([one, other])
+        _, i, j = S.np.intersect1d(h[which == 0], h[which == 1], return_indices=True)
+        unlike = contexts[which == 0][i] ^ contexts[which == 1][j]
+        if len(i) == 1 and unlike[0] >> 16 and unlike[0] & 0xFFFF:
+            rows += [(n, one), (1000 + n, other)]
+            n += 1
+    got = S.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"], r["start_word"], r["n_words"]) for r in got} == {(1000 + n, n, 40, 50) for n in range(12)}
