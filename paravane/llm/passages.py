@@ -12,9 +12,10 @@
    occurrence.  So a common seed leads to the passage's earlier copy and not to
    some unrelated document, and a seed that occurs n times gives at most 2 n
    matches, not n * n.  Of occurrences in one chunk of texts that agree in
-   everything only the first goes to the seed's task; of the others, which come
-   in runs, a few for each run are joined with its matches, and that join splits
-   a skewed key.
+   everything only the first goes to the seed's task.  The others come in runs
+   that follow one document of the chunk; a run sends one row, whatever its
+   length, to that document's matches and takes over those of its words, merged
+   into runs.
 4. Chaining: the matches of a document with an earlier one are merged into
    runs on one diagonal, and runs are chained in order of both texts.  A chain
    earns GAIN a seed and pays for the words skipped on either side; the best
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from paravane.llm.common import arrow_map, fit_to_send, keyed_text, settle, slices, text_slices, without_repeats
-from paravane.llm.words import shingle_hashes, word_hashes
+from paravane.llm.words import mix, shingle_hashes, word_hashes
 
 #: Words of a seed, and one class of how many is kept.
 SEED_WORDS, SAMPLE = 4, 3
@@ -48,10 +49,10 @@ SEED_WORDS, SAMPLE = 4, 3
 LOOP = 12
 #: Word pairs on either side of a seed that its contexts are made of.
 CONTEXT = 10
-#: Words of which a run inside a chunk sends one seed; with the gap after them still within RUN_GAP.
-THIN = 24
 #: Occurrences of a seed within a chunk: with no other that agrees in everything, the first of several, and the others.
 ALONE, FOLLOWED, REST = 0, 1, 2
+#: Matches of a document, those of a document that others of its chunk follow, and a run that follows.
+OWN, KNOWN, RUN = 0, 1, 2
 #: What a seed earns; what a skipped word costs on either side; the widest gap inside a run.
 GAIN, GAP_COST, RUN_GAP = 16.0, 0.25, 32
 #: Words beyond a chain's ends that extension may use; the fall in score that ends it; the widest gap that is aligned as a whole.
@@ -102,21 +103,19 @@ def firsts(h: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def ends(doc: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of rows in order of document and place: those that carry the run of rows that follow one document on one diagonal.
+def followers(doc: np.ndarray, place: np.ndarray, first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of the rows ``rest`` that follow one document on one diagonal.
 
-    That is the run's last row and one in each THIN words from its first on, near enough for runs to
-    be put together again by RUN_GAP.
+    (document, place, followed document, place there, words to the last seed) of each.
     """
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (doc[first][1:] != doc[first][:-1]) | (np.diff(place - place[first]) != 0) | (np.diff(place) > RUN_GAP)
-    begin = place[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-    part = (place - begin) // THIN
-    out = new.copy()
-    out[1:] |= part[1:] != part[:-1]
-    out[:-1] |= new[1:]
-    out[-1:] = True
-    return out
+    order = np.lexsort((place[rest], place[rest] - place[first[rest]], doc[first[rest]], doc[rest]))
+    rest = rest[order]
+    source = first[rest]
+    new = np.ones(len(rest), bool)
+    new[1:] = (doc[rest][1:] != doc[rest][:-1]) | (doc[source][1:] != doc[source][:-1]) | (np.diff(place[rest] - place[source]) != 0) | (np.diff(place[rest]) > RUN_GAP)
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(rest))[: len(begin)] - 1
+    return doc[rest[begin]], place[rest[begin]], doc[source[begin]], place[source[begin]], place[rest[last]] - place[rest[begin]]
 
 
 def apart(doc: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -171,6 +170,39 @@ class Meeting:
         return row - old, doc[source], spot[source] >> 34, np.repeat([True, True, False], [len(w) for w in who])
 
 
+def taken_over(known: list[np.ndarray], asking: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Matches (document, source, place, source place, words to the last seed, seeds) that runs take over.
+
+    Known are the matches (followed document, source, place, source place), in order of document and
+    place; asking are runs (followed document, document, place there, place, words).  Matches on one
+    diagonal are merged, once for all runs that follow the same words.
+    """
+    lots = np.cumsum(asking[4].astype(np.int64) + 1) >> 20
+    for lot in np.unique(lots):
+        followed, doc, there, place, words = (c[lots == lot].astype(np.int64) for c in asking)
+        ids, rank = np.unique(np.concatenate([known[0], followed]), return_inverse=True)
+        source, at, source_at = (c.astype(np.int64) for c in known[1:])
+        key, low = rank[: len(at)] << 32 | at, rank[len(at) :] << 32 | there
+        low, high = np.searchsorted(key, low), np.searchsorted(key, low + words, side="right")
+        spans, whose = np.unique(low << 32 | high, return_inverse=True)
+        size = (spans & 0xFFFFFFFF) - (spans >> 32)
+        span = np.repeat(np.arange(len(spans)), size)
+        row = np.repeat((spans >> 32) - np.cumsum(size) + size, size) + np.arange(len(span))
+        order = np.lexsort((at[row], at[row] - source_at[row], source[row], span))
+        span, row = span[order], row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (np.diff(span) != 0) | (source[row][1:] != source[row][:-1]) | (np.diff(at[row] - source_at[row]) != 0) | (np.diff(at[row]) > RUN_GAP)
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(row))[: len(begin)] - 1
+        # each merged run goes to every run that asks for its span
+        members, many = np.argsort(whose, kind="stable"), np.bincount(whose, minlength=len(spans))
+        times = many[span[begin]]
+        run = np.repeat(np.arange(len(begin)), times)
+        member = members[np.repeat((np.cumsum(many) - many)[span[begin]] - np.cumsum(times) + times, times) + np.arange(len(run))]
+        begin, last = begin[run], last[run]
+        yield doc[member], source[row[begin]], at[row[begin]] + (place - there)[member], source_at[row[begin]], at[row[last]] - at[row[begin]], last - begin + 1
+
+
 class Fenwick:
     """Prefix maxima of (score, run)."""
 
@@ -443,57 +475,86 @@ def find(df: DataFrame, least_words: int = 50, least_alike: float = 0.8, id_col:
             first = firsts(h, contexts)
             kind = np.where(doc[first] != doc, REST, ALONE)  # the rest agree in everything with an earlier document of this chunk
             kind[first[kind == REST]] = FOLLOWED
-            keep = apart(doc, place, first) & ((kind != REST) | ends(doc, place, first))
-            h, doc, place, contexts, kind = (z[keep] for z in (h, doc, place, contexts, kind))
-            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (h, doc, place << 34 | contexts << 2 | kind)], names=["h", "doc_id", "spot"])
+            keep = apart(doc, place, first)
+            d, p, f, q, size = followers(doc, place, first, np.flatnonzero(keep & (kind == REST)))
+            # a run travels as two rows of one mark, that of the followed document, whose id is smaller, first
+            mark = mix(mix(mix(mix(d.astype(np.uint64)) + p.astype(np.uint64)) + f.astype(np.uint64)) + q.astype(np.uint64)).view(np.int64)
+            keep &= kind != REST
+            spot = place << 34 | contexts << 2 | kind
+            columns = (h[keep], mark, mark), (doc[keep], f, d), (spot[keep], q << 34 | size << 2 | REST, p << 34 | REST)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in columns], names=["h", "doc_id", "spot"])
 
-    sown = arrow_map(docs, sow, "h long, doc_id long, spot long")
-    few = sown.filter(f"spot & 3 <> {REST}").repartition("h").sortWithinPartitions("h", "doc_id", "spot")
+    sown = arrow_map(docs, sow, "h long, doc_id long, spot long").repartition("h").sortWithinPartitions("h", "doc_id", "spot")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meeting = Meeting()
+        held = [np.zeros(0, np.int64)] * 3  # the last run's last row
         for batch in batches:
-            h, doc, spot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rest = rows[2] & 3 == REST
+            runs = [np.concatenate([z, c[rest]]) for z, c in zip(held, rows)]
+            held = [c[-1:] for c in runs]
+            i = np.flatnonzero((runs[0][1:] == runs[0][:-1]) & (runs[1][1:] != runs[1][:-1]))
+            _, doc, spot = runs
+            parts = [(np.full(len(i), RUN), doc[i], doc[i + 1], spot[i] >> 34, spot[i + 1] >> 34, spot[i] >> 2 & 0xFFFFFFFF)]
+            h, doc, spot = (c[~rest] for c in rows)
             if len(h):
                 row, source, source_at, sure = meeting.matches(h, doc, spot)
-                for_rest = np.flatnonzero(sure & (spot[row] & 3 == FOLLOWED))
-                own = np.flatnonzero(doc[row] != source)
-                at = np.concatenate([own, for_rest])
-                whose = pa.array(np.arange(len(at)) >= len(own))
-                yield pa.RecordBatch.from_arrays([whose, *(pa.array(z[at], t) for z, t in ((h[row], pa.int64()), (doc[row], pa.int64()), (spot[row], pa.int64()), (source, pa.int64()), (source_at, pa.int32()), (sure, pa.bool_())))], names=["for_rest", "h", "doc_id", "spot", "source_id", "source_at", "sure"])
+                for what, at in ((OWN, np.flatnonzero(doc[row] != source)), (KNOWN, np.flatnonzero(sure & (spot[row] & 3 == FOLLOWED)))):
+                    parts.append((np.full(len(at), what), doc[row[at]], source[at], spot[row[at]] >> 34, source_at[at], np.zeros(len(at), np.int64)))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), t) for z, t in zip(zip(*parts), kinds)], names=["what", "doc_id", "source_id", "at", "source_at", "words"])
 
     # read twice, dropped below; a lost executor's part is computed again
-    met = arrow_map(few, meet, "for_rest boolean, h long, doc_id long, spot long, source_id long, source_at int, sure boolean").persist(StorageLevel.DISK_ONLY)
-    ask = F.expr("spot >> 2 & 4294967295").alias("contexts")
-    # the first of equal occurrences in every chunk met the same sources: one for each side
-    known = met.filter("for_rest").select("h", ask, "source_id", "source_at", "sure").groupBy("h", "contexts").agg(F.collect_set(F.struct("source_id", "source_at", "sure")).alias("sources"))
-    rest = sown.filter(f"spot & 3 = {REST}").select("h", ask, "doc_id", "spot").join(known, ["h", "contexts"]).select("doc_id", "spot", F.inline("sources"))
-    found = ["doc_id", "source_id", F.expr("int(spot >> 34)").alias("at"), "source_at"]
-    matches = met.filter("NOT for_rest").select(*found).union(rest.select(*found))
+    met = arrow_map(sown, meet, "what int, doc_id long, source_id long, at int, source_at int, words int").persist(StorageLevel.DISK_ONLY)
+    # a document's followers are of its own chunk, so that none has more than a chunk holds
+    followed = met.filter(f"what <> {OWN}").repartition("doc_id").sortWithinPartitions("doc_id", "what", "at", "source_id", "source_at")
+
+    def inherit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the last document's matches
+        for batch in batches:
+            what, *rows = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(what):
+                continue
+            known = [c[what == KNOWN] for c in rows[:4]]
+            known = [np.concatenate(z) for z in zip(held, known)] if held else known
+            once = np.ones(len(known[0]), bool)  # rows of one id that several tasks passed on
+            once[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in known])
+            known = [c[once] for c in known]
+            for found in taken_over(known, [c[what == RUN] for c in rows]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), *[pa.int32()] * 4))], names=["doc_id", "source_id", "at", "source_at", "words", "seeds"])
+            last = known[0] == rows[0][-1]
+            held = [c[last] for c in known]
+
+    inherited = arrow_map(followed, inherit, "doc_id long, source_id long, at int, source_at int, words int, seeds int")
+    matches = met.filter(f"what = {OWN}").select("doc_id", "source_id", "at", "source_at", "words", F.lit(1).alias("seeds")).union(inherited)
     dealt = matches.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "at", "source_at")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def work(rows: list[np.ndarray]) -> pa.RecordBatch:
-            order = np.lexsort((rows[2], rows[2].astype(np.int64) - rows[3], rows[1], rows[0]))
-            rows = [column[order] for column in rows]
-            once = np.ones(len(rows[0]), bool)  # a match by both contexts, or rows of one id that several tasks passed on
-            for column in rows:
-                once[1:] &= column[1:] == column[:-1]
-            once[1:] = ~once[1:]
-            d, s, a, b = (column[once] for column in rows)
+            d, s, a, b, words, seeds = (column.astype(np.int64) for column in rows)
+            order = np.lexsort((a, a - b, s, d))
+            d, s, a, b, words, seeds = (column[order] for column in (d, s, a, b, words, seeds))
             out = [[], [], [], [], []]
             if len(d):
                 new = np.ones(len(d), bool)
-                new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (np.diff(a - b) != 0) | (np.diff(a) > RUN_GAP)
+                new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (np.diff(a - b) != 0)
+                base = np.cumsum(new) << 32
+                end = np.maximum.accumulate(base + a + words)  # a diagonal's end so far
+                reach = np.concatenate([[-1 << 32], end[:-1]]) - base
+                new[1:] = (a - reach > RUN_GAP)[1:]
+                # a match by both contexts, or of one id that several tasks passed on, counts once
+                seeds = np.maximum(0, np.minimum(seeds, a + words - np.maximum(a - 1, reach)))
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(d)) - 1
-                size = last - first + 1
+                size = np.add.reduceat(seeds, first)
+                until = (end - base)[last]
                 group = np.ones(len(first), bool)
                 group[1:] = (d[first][1:] != d[first][:-1]) | (s[first][1:] != s[first][:-1])
                 cut = np.append(np.flatnonzero(group), len(first))
-                runs = list(zip(a[first].tolist(), a[last].tolist(), b[first].tolist(), b[last].tolist(), size.tolist()))
+                runs = list(zip(a[first].tolist(), until.tolist(), b[first].tolist(), (b[first] + until - a[first]).tolist(), size.tolist()))
                 for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     for lot in overlapping(chains(runs[x:y]), k):
                         out[0].append(int(d[first[x]]))
